@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def columns(df: DataFrame) -> dict:
+    """A small result's columns as numpy arrays, by Arrow."""
+    got = df.toArrow()
+    return {n: got[n].to_numpy() for n in got.column_names}
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that their texts hold about `limit` bytes at most."""
     import numpy as np
