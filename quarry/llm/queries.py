@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_digests
 from .common import table
+from .decontaminate import overlaps
+from .langid import identify
 from .lm import score
+from .packing import pack_digests
 from .quality import quality
 from .secrets import secret_digests
 from .simhash import simhash_components
+from .substring import dedup_substrings
+from .warc import archive_digests
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +27,14 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=3, seed=42)
 
@@ -29,10 +43,27 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_digests(turns.unionByName(extra))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_digests(table(spark, sf_dir, "pages"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_secrets": op1_secrets,
-    "op2_lm_score": op2_lm_score,
-    "op5_simhash": op5_simhash,
-    "op6_quality": op6_quality,
+    f.__name__: f
+    for f in (op1_secrets, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_simhash, op6_quality, op7_chat, op8_pack, op9_warc, op10_langid)
 }
 ORACLES: dict[str, str] = {}

@@ -196,3 +196,110 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42) -> DataF
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "part").select("fp", "component_id", "fp_copies")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_copies")
+
+
+#: Near-duplicate search: blocks of the wide fingerprint, bits of each, and the similarity of word shingles that makes a link.
+BLOCKS, BLOCK_BITS, SHINGLE, SIMILARITY = 4, 40, 5, 0.8
+
+
+def _wide(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, f0..f3): two hashes of the text's words in order, and four 40-bit SimHashes of its set of words, one bit string cut in four."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << BLOCK_BITS) - 1)
+        for batch in text_chunks(batches):
+            n = batch.num_rows
+            w = words.split(blobs(batch))
+            h = w.hashes()
+            place = (np.arange(len(h)) - w.first[w.doc]).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                marks = []
+                for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                    x = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(h + place * np.uint64(factor)))])
+                    ends = np.cumsum(w.counts)
+                    marks.append(words.mix(x[ends] - x[ends - w.counts]))
+                key = h ^ words.mix(w.doc.astype(np.uint64) + np.uint64(1))
+                _, one = np.unique(key, return_index=True)
+                one.sort()
+                f = [majority_bits(words.mix(h[one] + np.uint64(k)) if k else h[one], w.doc[one], n) for k in range(3)]
+            rest = np.uint64(BLOCK_BITS)
+            parts = [x & mask for x in f] + [(f[0] >> rest) | ((f[1] >> rest) & np.uint64(0xFFFF)) << np.uint64(24)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in (*marks, *parts)]], ["doc_id", "t1", "t2", "f0", "f1", "f2", "f3"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long")
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, s): the sorted different hashes of the text's word shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            w = words.split(blobs(batch))
+            start, length, doc = w.shingles(width)
+            h = words.xxh64(w.buf, start, length)
+            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "s"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose shingle sets have at least this Jaccard similarity; two texts without words are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            on = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], ["u", "v"])
+
+    kind = pairs.schema["u"].dataType.simpleString()
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, group_id): for each document with a link or a copy its group's smallest doc_id; the rest has no row.
+
+    Texts with the same words in the same order are copies. Of the others, those are candidates that come within 2 bits in some block of a 160-bit fingerprint (so
+    links needn't be close in all of it); a candidate links if the sets of its word shingles are at least `similarity` alike. Two texts of that
+    similarity have few different words, about one in 45, and a fingerprint of the set of words then differs in about one bit in 15. In a group of equal
+    blocks each text is compared to the first, in an anchor's group along a spanning forest: no group emits all its pairs.
+    Rows with a null doc_id take no part.
+    """
+    wide = cut(_wide(docs.where("doc_id is not null")))
+    texts = cut(wide.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(BLOCKS)]))
+    blocks = texts.select("id", F.posexplode(F.array(*[f"f{k}" for k in range(BLOCKS)])).alias("block", "fp")).withColumn("block", F.col("block").cast("long"))
+    distinct = cut(blocks.groupBy("block", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    same = blocks.join(distinct.where("n > 1"), ["block", "fp"]).where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    near = links(distinct.select("block", "fp"), BLOCK_BITS)
+    of = lambda end, name: distinct.select("block", F.col("fp").alias(end), F.col("least").alias(name))
+    across = near.join(of("fp_a", "x"), ["block", "fp_a"]).join(of("fp_b", "y"), ["block", "fp_b"])
+    across = across.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    pairs = cut(same.union(across).distinct())
+    asked = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    sets = cut(_shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id"), width).groupBy("doc_id").agg(F.any_value("s").alias("s")))
+    of_text = components(_similar(pairs, sets, similarity))
+    named = texts.join(of_text, texts["id"] == of_text["node"], "left").select("t1", "t2", "id", F.coalesce("component", "id").alias("group_id"))
+    return wide.join(named, ["t1", "t2"]).where("doc_id <> id or group_id <> id").select("doc_id", "group_id").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of near duplicates, that of the smallest doc_id, and all columns; repeated rows of a doc_id become one.
+
+    Rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, width, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = named.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not twice.isEmpty():
+        own = left.where("row.doc_id is not null").groupBy(F.col("row.doc_id").alias("id")).agg(F.min("row").alias("row")).select("row")
+        left = left.where("row.doc_id is null").unionByName(own)
+    return left.select("row.*")

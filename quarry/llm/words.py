@@ -17,13 +17,18 @@ _LONG = 512
 
 @dataclass
 class Words:
-    """buf: each word followed by one blank, text after text; starts, ends: of the words there; doc: each word's text; counts: words of each text."""
+    """buf: each word followed by one blank, text after text; starts, ends: of the words there; doc: each word's text; counts: words of each text.
+
+    With places: at, the byte of its text at which each word begins, and line, a number that grows by the line ends before it.
+    """
 
     buf: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     doc: np.ndarray
     counts: np.ndarray
+    at: np.ndarray | None = None
+    line: np.ndarray | None = None
 
     @property
     def first(self) -> np.ndarray:
@@ -47,7 +52,7 @@ class Words:
         return self.starts[first], self.ends[last] - self.starts[first], doc
 
 
-def split(texts: list[bytes], lower: bool = True) -> Words:
+def split(texts: list[bytes], lower: bool = True, places: bool = False) -> Words:
     """Words are runs of bytes other than blank and \\x09-\\x0D; lower: A-Z become a-z before."""
     big = b"\n".join(texts) + b"\n"
     a = np.frombuffer(big.lower() if lower else big, dtype=np.uint8)
@@ -66,7 +71,11 @@ def split(texts: list[bytes], lower: bool = True) -> Words:
     begins = np.flatnonzero(is_word & ~before)
     bounds = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts])) if texts else np.zeros(0, np.int64)
     counts = np.diff(bounds, prepend=0)
-    return Words(buf, starts, ends, np.repeat(np.arange(len(texts)), counts), counts)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    if not places:
+        return Words(buf, starts, ends, doc, counts)
+    sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    return Words(buf, starts, ends, doc, counts, begins - (np.cumsum(sizes) - sizes)[doc], np.cumsum(a == 10)[begins])
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
