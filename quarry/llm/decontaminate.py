@@ -23,18 +23,18 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def word_array(text: Column) -> Column:
     """The text's words: lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def _windows(df: DataFrame, mask: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """keep, pos and h: for each window of df.words (as long as `mask`) and each of masks its hash; pos is the window's first word, from 0."""
     span = len(mask)
     looked = [k for k in range(span) if any(m[k] == "1" for m in masks)]
-    n = F.size("words")
-    # Word k of every window: the words from the k-th on, as many as there are windows.
-    columns = [F.slice("words", F.lit(k + 1), n - span + 1).alias(f"w{k}") for k in looked]
-    places = F.sequence(F.lit(0), n - span).alias("pos")
-    rows = df.where(n >= span).select(*keep, F.inline(F.arrays_zip(places, *columns)))
+    # Word k of every window: the words from the k-th on, as many as there are windows. (A filter on the size would split the text twice.)
+    n = F.greatest(F.size("words") - span + 1, F.lit(0))
+    columns = [F.slice("words", F.lit(k + 1), n).alias(f"w{k}") for k in looked]
+    places = F.slice(F.sequence(F.lit(0), F.size("words")), F.lit(1), n).alias("pos")
+    rows = df.select(*keep, F.inline(F.arrays_zip(places, *columns)))
     hashes = [F.xxhash64(F.lit(m), *[F.col(f"w{k}") for k in range(span) if m[k] == "1"]) for m in masks]
     return rows.select(*keep, "pos", F.explode(F.array(*hashes)).alias("h"))
 
@@ -48,10 +48,15 @@ def benchmark_seeds(items: DataFrame) -> DataFrame:
     return seeds.select("h", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"))
 
 
-def _aligned(doc_words: Column, item_words: Column, shift: Column) -> Column:
-    """How many of the item's words stand in the document where the shift puts them."""
-    same = F.filter(F.transform(item_words, lambda w, i: F.get(doc_words, shift + i) == w), lambda x: x)
-    return F.size(same)
+def _aligned(region: Column, item_words: Column, shift: Column) -> Column:
+    """How many of the item's words stand in the region, the part of the document that the item falls on when shifted so."""
+    skipped = F.greatest(-shift, F.lit(0))
+    return F.size(F.filter(F.transform(item_words, lambda w, i: F.get(region, i - skipped) == w), lambda x: x))
+
+
+def _region(words: Column, item_words: Column, shift: Column) -> Column:
+    size = F.greatest(F.size(item_words) + F.least(shift, F.lit(0)), F.lit(0))
+    return F.slice(words, F.greatest(shift, F.lit(0)) + 1, size)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
@@ -64,14 +69,26 @@ def overlaps(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE) ->
     seeds = benchmark_seeds(items)
     short = items.where(F.size(word_array(F.col("text"))).between(len(SHORT_MASK), len(MASKS[0]) - 1))
     own = docs.select("doc_id", word_array(F.col("text")).alias("words"))
-    windows = lambda keep: _windows(own, MASKS[0], keep, MASKS) if short.isEmpty() else _windows(own, MASKS[0], keep, MASKS).union(_windows(own, SHORT_MASK, keep, (SHORT_MASK,)))
-    if seeds.count() <= BROADCAST_SEEDS:
-        hits = windows(["doc_id", "words"]).join(F.broadcast(seeds), "h").select("doc_id", "words", "item_id", "item_words", (F.col("pos") - F.col("item_pos")).alias("shift"))
-    else:
-        slim = windows(["doc_id"]).join(seeds, "h").select("doc_id", "item_id", "item_words", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-        hits = slim.join(own.select(F.col("doc_id").alias("own_id"), "words"), F.col("doc_id").eqNullSafe(F.col("own_id")))
-    matched = hits.select("doc_id", "item_id", "shift", _aligned(F.col("words"), F.col("item_words"), F.col("shift")).alias("n"), F.size("item_words").alias("size"))
-    best = matched.where(F.col("n") >= min_share * F.col("size")).groupBy("doc_id", "item_id").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"), "size")).alias("b"))
+    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
+    region = _region(F.col("words"), F.col("item_words"), F.col("shift")).alias("region")
+    few = seeds.count() <= BROADCAST_SEEDS
+
+    def hits_of(mask: str, masks: tuple[str, ...]) -> DataFrame:
+        if few:
+            # Window, probe and cut-out are one generated stage: only hits leave it, with no more words than the item has.
+            met = _windows(own, mask, ["doc_id", "words"], masks).join(F.broadcast(seeds), "h").select("doc_id", "item_id", shift, "words", "item_words")
+            return met.select("doc_id", "item_id", "shift", region, "item_words")
+        slim = _windows(own, mask, ["doc_id"], masks).join(seeds, "h").select("doc_id", "item_id", "item_words", shift).distinct()
+        back = slim.join(own.select(F.col("doc_id").alias("own_id"), "words"), F.col("doc_id").eqNullSafe(F.col("own_id")))
+        return back.select("doc_id", "item_id", "shift", region, "item_words")
+
+    hits = hits_of(MASKS[0], MASKS)
+    if not short.isEmpty():
+        hits = hits.union(hits_of(SHORT_MASK, (SHORT_MASK,)))
+    once = hits.groupBy("doc_id", "item_id", "shift").agg(F.max(F.struct("region", "item_words")).alias("x"))
+    matched = once.select("doc_id", "item_id", "shift", _aligned(F.col("x.region"), F.col("x.item_words"), F.col("shift")).alias("n"), F.size("x.item_words").alias("size"))
+    best = matched.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", (-F.col("shift")).alias("back"), "size")).alias("b"))
+    best = best.where(F.col("b.n") >= min_share * F.col("b.size"))
     share = F.col("b.n") / F.col("b.size")
     return best.select(
         "doc_id", "item_id", F.col("b.n").cast("long").alias("n_matched"), F.col("b.size").cast("long").alias("n_item_words"), share.alias("share"), (-F.col("b.back")).cast("long").alias("doc_word")
