@@ -59,7 +59,7 @@ def test_a_large_group_of_near_copies(spark):
     rows = []
     for i in range(400):
         w = list(base)
-        for k in rng.sample(range(300), 4):
+        for k in rng.sample(range(300), 2):
             w[k] = f"x{rng.randrange(5000)}"
         rows.append((i, " ".join(w)))
     left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
