@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .words import Table
 from .common import blobs, columns, cut, held_out, text_chunks
 
 #: Tokens that are classes of their own, and classes of the other words.
@@ -86,44 +87,6 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return parts.groupBy("h").agg(F.min("cls").alias("cls"), F.sum("c").alias("c"))
 
 
-class Table:
-    """Values by 64-bit hash, looked up many at a time: open addressing over a power of two of slots."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
-        self.shift = np.uint64(64 - int(np.log2(size)))
-        self.keys, self.used = np.zeros(size + 64, np.uint64), np.zeros(size + 64, bool)
-        self.values = np.zeros(size + 64, values.dtype)
-        self.reach = 0
-        at, left = (keys >> self.shift).astype(np.int64), np.arange(len(keys))
-        while len(left):
-            if self.reach >= 60:
-                raise ValueError("too many hashes share a prefix")
-            slot = at[left] + self.reach
-            free = np.flatnonzero(~self.used[slot])
-            _, one = np.unique(slot[free], return_index=True)
-            put = free[one]
-            self.keys[slot[put]], self.values[slot[put]], self.used[slot[put]] = keys[left[put]], values[left[put]], True
-            left = np.delete(left, put)
-            self.reach += 1
-
-    def get(self, h: np.ndarray, default) -> np.ndarray:
-        out = np.full(len(h), default, dtype=self.values.dtype)
-        at, left = (h >> self.shift).astype(np.int64), None
-        for k in range(self.reach):
-            slot, want = (at + k, h) if left is None else (at[left] + k, h[left])
-            hit = (self.keys[slot] == want) & self.used[slot]
-            if left is None:
-                out[hit] = self.values[slot[hit]]
-                left = np.flatnonzero(~hit)
-            else:
-                out[left[hit]] = self.values[slot[hit]]
-                left = left[~hit]
-            if not len(left):
-                break
-        return out
-
-
 def start_parameters(noise: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     d = DIMENSIONS

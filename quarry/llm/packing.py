@@ -2,105 +2,129 @@
 
 A document's vector counts its token ids in hashed dimensions; a fixed random projection takes it to a few dimensions, a grid and the Hilbert curve to one key. Documents are
 range-sorted by the key and laid end to end; every CONTEXT tokens a sequence ends, so no sequence but the last is short, and the last is cut
-at powers of two. Tokens travel once, as 16-bit ids, from the tokenizer through the range sort to the pieces.
+at powers of two. Tokens are stored once and travel once, as 16-bit ids: bounds of the range sort and the tokens before each of its parts are
+taken from the keys and sizes alone.
 """
 
 from __future__ import annotations
 
-import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import blobs, cut, text_chunks
+from .common import blobs, shared_dir, text_chunks
 from .hilbert import hilbert_key
 
 #: Tokens of a sequence; what ends a document; the tokenizer's file.
 CONTEXT, END_ID, TOKENIZER = 4096, 2, "word_bpe_49k.json"
-DIMENSIONS, GRID_BITS = 4, 12
-#: Words, and pieces of words, whose ids a worker keeps; beyond that it begins anew.
-_KEEP_WORDS, _KEEP_PIECES = 400_000, 400_000
-#: Words of these shapes are the tokenizer's own pieces: letters of the Latin alphabets, then signs other than the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)", re.ASCII)
-
-
-class WordIds:
-    """Token ids of words, each encoded once; the tokenizer's pieces never cross white space, so a text's ids are its words' in a row."""
+DIMENSIONS, GRID_BITS = 3, 11
+#: Places on the curve and scrambled order within a place, in one number that a double holds exactly.
+SCRAMBLE_BITS = 20
+#: Bytes of tokens that a sorted partition holds, about.
+PART_BYTES = 32_000_000
+#: Units (see `units`) whose ids a worker keeps; beyond that it begins anew.
+_KEEP_UNITS = 800_000
+#: Byte kinds: 0 letter of ASCII or of two-byte Latin, 1 ASCII sign other than the apostrophe, 2 anything else.
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 0
+_KIND[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'"]] = 1
+
+
+def units(w: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, word) of the units that the words are encoded by.
+
+    The tokenizer's pieces never cross white space, and a piece of letters never reaches into signs: a word of Latin letters and then signs (no apostrophe) is
+    two units. Every other word is one.
+    """
+    kind = _KIND[w.buf]
+    # The signs of multiplication and division are the two of their range that aren't letters.
+    cross = np.flatnonzero((w.buf[:-1] == 0xC3) & ((w.buf[1:] == 0x97) | (w.buf[1:] == 0xB7)))
+    kind[cross] = 2
+    sign, other = np.concatenate([[0], np.cumsum(kind == 1)]), np.concatenate([[0], np.cumsum(kind == 2)])
+    back = np.concatenate([[0], np.cumsum((kind[:-1] == 1) & (kind[1:] == 0)), [0]])
+    signs = sign[w.ends] - sign[w.starts]
+    pure = (other[w.ends] == other[w.starts]) & (back[w.ends - 1] == back[w.starts]) & (kind[w.starts] == 0) & (signs > 0)
+    first = np.where(pure, w.ends - signs, w.ends)
+    extra = np.flatnonzero(pure)
+    word = np.concatenate([np.arange(len(w.starts)), extra])
+    start, end = np.concatenate([w.starts, first[extra]]), np.concatenate([first, w.ends[extra]])
+    order = np.argsort(word, kind="stable")
+    return start[order], end[order], word[order]
+
+
+class UnitIds:
+    """Token ids of units, each encoded once by a worker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.merges = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.size, self.start, self.count = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        none = np.zeros(0, np.uint64)
+        self.table = words.Table(none, none.astype(np.int32), room=_KEEP_UNITS)
+        self.size, self.start, self.count = 0, np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.arena, self.used = np.zeros(1 << 14, np.uint16), 0
 
-    def _encode(self, texts: list[str]) -> list[tuple[int, ...]]:
-        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [tuple(e.ids) for e in many(texts, add_special_tokens=False)]
-
-    def _of_words(self, found: list[bytes]) -> list[tuple[int, ...]]:
-        texts = [w.decode("utf-8", "replace") for w in found]
-        parts = [m.groups() if (m := _PLAIN.fullmatch(t)) else (t,) for t in texts]
-        if len(self.pieces) > _KEEP_PIECES:
-            self.pieces.clear()
-        new = list({p for q in parts for p in q if p and p not in self.pieces})
-        self.pieces |= zip(new, self._encode(new)) if new else {}
-        return [sum((self.pieces[p] for p in q if p), ()) for q in parts]
-
-    def rows(self, hashes: np.ndarray, w: words.Words, first: np.ndarray) -> np.ndarray:
-        """The table rows of different words, given by hash and their index in w; new ones are encoded."""
-        if self.size + len(hashes) > _KEEP_WORDS:
-            self.clear()
-        get = self.known.get
-        out = [get(h, -1) for h in hashes.tolist()]
-        new = [k for k, r in enumerate(out) if r < 0]
-        if new:
-            ids = self._of_words([w.buf[w.starts[i] : w.ends[i]].tobytes() for i in first[new]])
-            flat = np.array([x for t in ids for x in t], dtype=np.uint16)
-            sizes = np.array([len(t) for t in ids])
-            while self.size + len(new) > len(self.start):
-                self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
-            while self.used + len(flat) > len(self.arena):
-                self.arena = np.concatenate([self.arena, self.arena])
-            at = np.arange(self.size, self.size + len(new))
-            self.arena[self.used : self.used + len(flat)] = flat
-            self.count[at], self.start[at] = sizes, self.used + np.cumsum(sizes) - sizes
-            self.used += len(flat)
-            self.size += len(new)
-            for k, r in zip(new, at.tolist()):
-                out[k] = r
-                self.known[int(hashes[k])] = r
-        return np.array(out, dtype=np.int64)
+    def _add(self, hashes: np.ndarray, found: list[bytes]) -> np.ndarray:
+        ids: list = [None] * len(found)
+        whole = []
+        for k, x in enumerate(found):
+            # Lower-cased letters of ASCII are one piece as they stand; the merges alone give their ids.
+            if x.isalpha() and x.isascii():
+                ids[k] = [t.id for t in self.merges.tokenize(x.lower().decode())]
+            else:
+                whole.append(k)
+        for a in range(0, len(whole), 20_000):
+            part = whole[a : a + 20_000]
+            for k, e in zip(part, self.tokenizer.encode_batch([found[k].decode("utf-8", "replace") for k in part], add_special_tokens=False)):
+                ids[k] = e.ids
+        flat, sizes = np.array([x for t in ids for x in t], dtype=np.uint16), np.array([len(t) for t in ids], dtype=np.int64)
+        while self.size + len(ids) > len(self.start):
+            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
+        while self.used + len(flat) > len(self.arena):
+            self.arena = np.concatenate([self.arena, self.arena])
+        at = np.arange(self.size, self.size + len(ids))
+        self.arena[self.used : self.used + len(flat)] = flat
+        self.count[at], self.start[at] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.table.put(hashes, at.astype(np.int32))
+        self.used += len(flat)
+        self.size += len(ids)
+        return at
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end after it; number of each text's)."""
         w = words.split(texts, lower=False)
-        u, first, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        row = self.rows(u, w, first)[inverse] if len(u) else np.zeros(0, np.int64)
-        count = self.count[row]
-        total = np.bincount(w.doc, weights=count, minlength=len(texts)).astype(np.int64) + 1
+        start, end, word = units(w)
+        h = words.xxh64(w.buf, start, end - start)
+        row = self.table.get(h, -1).astype(np.int64)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            u, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            if self.size and self.size + len(u) > _KEEP_UNITS:
+                self.clear()
+                return self.encode(texts)
+            row[new] = self._add(u, [w.buf[start[i] : end[i]].tobytes() for i in new[first]])[inverse]
+        count, doc = self.count[row].astype(np.int64), w.doc[word]
+        total = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64) + 1
         out = np.empty(int(total.sum()), dtype=np.uint16)
-        ends = np.cumsum(total) - 1
-        out[ends] = END_ID
-        # Each word's ids go where those before it and the ends before its text leave off.
-        at = np.cumsum(count) - count + w.doc
-        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        out[np.repeat(at, count) + step] = self.arena[np.repeat(self.start[row], count) + step]
+        out[np.cumsum(total) - 1] = END_ID
+        # Each unit's ids go where those before it and the ends before its text leave off.
+        ahead = np.cumsum(count) - count
+        step = np.arange(int(count.sum())) - np.repeat(ahead, count)
+        out[np.repeat(ahead + doc, count) + step] = self.arena[np.repeat(self.start[row].astype(np.int64), count) + step]
         return out, total
 
 
-_worker: dict[str, WordIds] = {}
+_worker: dict[str, UnitIds] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -125,11 +149,14 @@ def curve_keys(ids: np.ndarray, total: np.ndarray, projection: np.ndarray) -> np
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, key, n, ids): the curve key, the number of tokens and the tokens (16 bits each, little-endian) of every text, the end included."""
+    """(doc_id, place, n, ids): where the text is on the curve, the number of its tokens, and the tokens (16 bits each, little-endian), the end included.
+
+    place is the curve key followed by a scramble of doc_id and tokens, so that texts of equal keys, which may be a third of all, can be told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = path or tokenizer_path(TOKENIZER)
-        own = _worker.get(place) or _worker.setdefault(place, WordIds(place))
+        file = path or tokenizer_path(TOKENIZER)
+        own = _worker.get(file) or _worker.setdefault(file, UnitIds(file))
         projection = _projection(1 << 16)
         for batch in text_chunks(batches):
             ids, total = own.encode(blobs(batch))
@@ -139,26 +166,16 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(total), data], ["doc_id", "key", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
-
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
+    place = F.col("key") * (1 << SCRAMBLE_BITS) + F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << SCRAMBLE_BITS))
+    return rows.select("doc_id", place.alias("place"), "n", "ids")
 
-def _laid_out(tokens: DataFrame) -> DataFrame:
-    """tokens range-sorted by key, with part and before: the sorted partition and the tokens before the row in it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            before = seen + np.cumsum(n) - n
-            seen += int(n.sum())
-            cols = [batch.column(0), batch.column(1), batch.column(2), pa.array(np.full(len(n), part, np.int32)), pa.array(before)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "ids", "part", "before"])
-
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    # The scramble lets boundaries fall among rows of equal keys, which may be a third of all.
-    order = ["key", F.xxhash64("doc_id", "n"), "doc_id", "ids"]
-    spread = tokens.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
-    return spread.select("doc_id", "n", "ids").mapInArrow(run, f"doc_id {kind}, n long, ids binary, part int, before long")
+def _stored(tokens: DataFrame) -> DataFrame:
+    """tokens written once, compressed, in the shared folder, and read from there."""
+    folder = f"{shared_dir(tokens.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    tokens.write.option("compression", "zstd").parquet(folder)
+    return tokens.sparkSession.read.schema(tokens.schema).parquet(folder)
 
 
 def _last_cuts(tokens: int, context: int) -> list[tuple[int, int]]:
@@ -177,41 +194,61 @@ def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None) -> Da
     Null and empty texts are an end alone. Documents of equal keys go by a scramble of their ids; repeated rows are packed as often as they occur. A text
     however long is cut where sequences end. Further columns are ignored; an empty table gives an empty result.
     """
-    laid = cut(_laid_out(cut(tokenised(docs, path))))
-    parts = laid.groupBy("part").agg(F.sum("n").alias("m"))
-    ahead = parts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("ahead"))
-    total = parts.agg(F.sum("m")).first()[0] or 0
-    cuts = _last_cuts(total, context)
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    tokens = _stored(tokenised(docs, path))
+    total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    # The curve is cut at quantiles of place into parts; what lies before each part is known before any token moves.
+    parts = int(max(1, min(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total / PART_BYTES))))
+    cut_at = tokens.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    bounds = np.unique(np.array(cut_at or [], dtype=np.int64))
+    parted = tokens.mapInArrow(_parts(bounds), f"doc_id {kind}, place long, n long, ids binary, part int")
+    sizes = dict(tokens.select("place", "n").mapInArrow(_parts(bounds), "place long, n long, part int").groupBy("part").agg(F.sum("n")).collect())
+    ahead = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(len(bounds) + 1)])]).astype(np.int64)
     full = total // context
-    edges = np.array([a for a, _ in cuts] + [total], dtype=np.int64)
+    edges = np.array([a for a, _ in _last_cuts(total, context)] + [total], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = -1, 0
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2000):
+                batch = whole.slice(low, 2000)
+                row, start, length, seq, offset, piece = [], [], [], [], [], []
+                for k, (n, own, ids) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist())):
+                    if own != part:
+                        part, seen = own, int(ahead[own])
+                    at, begin, stop = seen, seen, seen + n
+                    seen = stop
+                    while at < stop:
+                        if at < full * context:
+                            s, a, b = at // context, at // context * context, at // context * context + context
+                        else:
+                            i = int(np.searchsorted(edges, at, side="right")) - 1
+                            s, a, b = full + i, int(edges[i]), int(edges[i + 1])
+                        to, x = min(stop, b), at - begin
+                        row.append(k), start.append(x), length.append(to - at), seq.append(s), offset.append(at - a)
+                        piece.append(ids[2 * x : 2 * (x + to - at)])
+                        at = to
+                index = pa.array(row, pa.int64())
+                count = lambda x: pa.array(x, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(index), count(start), count(length), pa.array(piece, pa.binary()), batch.column(1).take(index), count(seq), count(offset)],
+                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                )
+
+    spread = parted.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "doc_id", "ids")
+    return spread.select("doc_id", "n", "ids", "part").mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def _parts(bounds: np.ndarray):
+    """A mapper that adds the part, counted from 0, in which each row's place lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, n, data, begin = (batch.column(k) for k in range(4))
-            n, begin = n.to_numpy(zero_copy_only=False), begin.to_numpy(zero_copy_only=False)
-            row, start, length, seq, offset, piece = [], [], [], [], [], []
-            for k, ids in enumerate(data.to_pylist()):
-                at, stop = int(begin[k]), int(begin[k] + n[k])
-                while at < stop:
-                    if at < full * context:
-                        s, a, b = at // context, at // context * context, at // context * context + context
-                    else:
-                        i = int(np.searchsorted(edges, at, side="right")) - 1
-                        s, a, b = full + i, int(edges[i]), int(edges[i + 1])
-                    to, x = min(stop, b), at - int(begin[k])
-                    row.append(k), start.append(x), length.append(to - at), seq.append(s), offset.append(at - a)
-                    piece.append(ids[2 * x : 2 * (x + to - at)])
-                    at = to
-            index = pa.array(row, pa.int64())
-            whole = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [doc.take(index), whole(start), whole(length), pa.array(piece, pa.binary()), pa.array(n).take(index), whole(seq), whole(offset)],
-                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
+            place = batch.column(batch.schema.get_field_index("place")).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(bounds, place, side="left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    placed = laid.join(ahead, "part").select("doc_id", "n", "ids", (F.col("ahead") + F.col("before")).alias("begin"))
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return run
 
 
 def pack_digests(docs: DataFrame, context: int = CONTEXT, path: str | None = None) -> DataFrame:

@@ -151,3 +151,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+class Table:
+    """Values by 64-bit hash, put in and looked up many at a time: open addressing over a power of two of slots, a third full or less."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        size = 1 << max(4, int(np.ceil(np.log2(max(len(keys), room, 1) * 2.5))))
+        self.shift = np.uint64(64 - int(np.log2(size)))
+        self.keys, self.used = np.zeros(size + 256, np.uint64), np.zeros(size + 256, bool)
+        self.values = np.zeros(size + 256, values.dtype)
+        self.reach = 0
+        self.put(keys, values)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add different keys that aren't in the table."""
+        at, left, step = (keys >> self.shift).astype(np.int64), np.arange(len(keys)), 0
+        while len(left):
+            if step >= 250:
+                raise ValueError("too many hashes share a prefix")
+            slot = at[left] + step
+            free = np.flatnonzero(~self.used[slot])
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]], self.used[slot[put]] = keys[left[put]], values[left[put]], True
+            left = np.delete(left, put)
+            step += 1
+        self.reach = max(self.reach, step)
+
+    def get(self, h: np.ndarray, default) -> np.ndarray:
+        out = np.full(len(h), default, dtype=self.values.dtype)
+        at, left = (h >> self.shift).astype(np.int64), None
+        for k in range(self.reach):
+            slot, want = (at + k, h) if left is None else (at[left] + k, h[left])
+            hit = (self.keys[slot] == want) & self.used[slot]
+            if left is None:
+                out[hit] = self.values[slot[hit]]
+                left = np.flatnonzero(~hit)
+            else:
+                out[left[hit]] = self.values[slot[hit]]
+                # An empty slot ends the search.
+                left = left[~hit & self.used[slot]]
+            if not len(left):
+                break
+        return out

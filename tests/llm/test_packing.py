@@ -20,7 +20,7 @@ def test_hilbert_visits_every_cell_by_unit_steps(dims, bits):
 
 def texts():
     rng = random.Random(3)
-    vocabulary = ["the", "The", "l'été", "don't", "x%%%", "ab1c2", "ÉÀ", "naïve,", "<|endoftext|>", "<|EndOfText|>", "été", "日本語", "ß", " x y", "a\x1cb", "(((", "'s", "«q»", "İI", "ΣΑΣ"]
+    vocabulary = ["the", "The", "l'été", "don't", "x%%%", "ab1c2", "ÉÀ", "naïve,", "<|endoftext|>", "<|EndOfText|>", "été", "日本語", "ß", " x y", "a\x1cb", "(((", "'s", "«q»", "x×y", "é÷", "été!?", "ab's.", "a-b", "n°5", "Ÿ...", "İI", "ΣΑΣ"]
     vocabulary += ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 12))) for _ in range(80)]
     out = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(120)]
     return [*out, None, "", " \n\t", "same same\nsame", "same same\nsame", "long words " * 9000]
@@ -34,7 +34,7 @@ def brute(texts):
 
 
 def test_word_ids_are_the_tokenizers():
-    own = packing.WordIds(packing.tokenizer_path(packing.TOKENIZER))
+    own = packing.UnitIds(packing.tokenizer_path(packing.TOKENIZER))
     ts = texts()
     for part in (ts[:50], ts[50:], ts):
         ids, total = own.encode([(x or "").encode() for x in part])
