@@ -59,7 +59,7 @@ def crawl_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Done, failed and total of each user, and of all; the last time of each."""
     e = _table(spark, sf_dir, "events")
     failed = F.sum((F.col("event_type") == "error").cast("long"))
-    return e.rollup("user_id").agg(F.count("*").alias("total"), failed.alias("failed"), (F.count("*") - failed).alias("done"), F.max(F.unix_micros("ts")).alias("last_us"))
+    return e.rollup("user_id").agg(F.count("*").alias("total"), failed.alias("failed"), (F.count("*") - failed).alias("done"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_us"))
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

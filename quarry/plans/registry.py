@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quarry.plans import corpus_plans, name_plans, search_plans
+
+_MODULES = (search_plans, corpus_plans, name_plans)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
 FLAGSHIP = "bm25_topk"
