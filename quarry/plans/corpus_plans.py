@@ -59,6 +59,7 @@ def crawl_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Done, failed and total of each user, and of all; the last time of each."""
     e = _table(spark, sf_dir, "events")
     failed = F.sum((F.col("event_type") == "error").cast("long"))
+    e = e.withColumn("user_id", F.col("user_id").cast("string"))
     return e.rollup("user_id").agg(F.count("*").alias("total"), failed.alias("failed"), (F.count("*") - failed).alias("done"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_us"))
 
 
@@ -204,7 +205,7 @@ ORACLES = {
  UNION ALL SELECT 'intersect', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
  UNION ALL SELECT 'except', count(*), sum(doc_id)::BIGINT FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels)""",
     "resume_pending": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "crawl_status_rollup": "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') AS done, max(epoch_us(ts)) AS last_us FROM events GROUP BY ROLLUP (user_id)",
+    "crawl_status_rollup": "SELECT user_id::VARCHAR AS user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type <> 'error') AS done, max(epoch_us(ts)) AS last_us FROM events GROUP BY ROLLUP (user_id)",
     "secret_scan": f"""SELECT doc_id, i::INTEGER AS line, 'credential' AS label FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
  WHERE regexp_matches(x, '{CREDENTIAL.replace("'", "''")}')""",
     "html_to_text": r"""SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,

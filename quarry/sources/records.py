@@ -77,6 +77,12 @@ def field_value(text: Column, label: str) -> Column:
     return F.coalesce(F.trim(F.substring(F.get(found, F.lit(0)), F.lit(len(label) + 3), F.lit(1 << 30))), F.lit(""))
 
 
+def field_values(text: Column, labels: list[str]) -> Column:
+    """The labels' first values, '' where there is none; the text is split once."""
+    first = lambda lines, x: F.coalesce(F.trim(F.substring(F.get(F.filter(lines, lambda y: F.startswith(y, F.lit(x + ": "))), F.lit(0)), F.lit(len(x) + 3), F.lit(1 << 30))), F.lit(""))
+    return F.get(F.transform(F.array(schema_lines(text)), lambda lines: F.array(*[first(lines, x) for x in labels])), F.lit(0))
+
+
 def field_count(text: Column) -> Column:
     """Schema lines with ': ', Kind and Page among them."""
     return F.size(F.filter(schema_lines(text), lambda x: F.contains(x, F.lit(": "))))
@@ -85,7 +91,7 @@ def field_count(text: Column) -> Column:
 def narrative(text: Column) -> Column:
     """What follows History:, else Synopsis:."""
     at = lambda mark: F.when(F.locate("\n" + mark, text) > 0, F.substring(text, F.locate("\n" + mark, text) + len(mark) + 1, F.length(text)))
-    return F.trim(F.coalesce(at("History:"), at("Synopsis:"), F.lit("")))
+    return F.regexp_replace(F.coalesce(at("History:"), at("Synopsis:"), F.lit("")), r"^\s+|\s+$", "")
 
 
 def records(blocks: DataFrame) -> DataFrame:
