@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.ship import ship
+
 #: Bytes of text that one step of an Arrow mapper holds at once (a longer single text is a step of its own).
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
+#: Rows of an Arrow batch between JVM and Python: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands Python workers BATCH_ROWS rows at a time at most, and has shipped the package to them."""
+    ship(df.sparkSession)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there; survives the loss of executors."""
     shared_dir(df.sparkSession)

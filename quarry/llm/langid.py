@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, cut, held_out, text_chunks
+from .common import blobs, cut, held_out, small_batches, text_chunks
 
 #: Slots of a text's vector.
 SLOTS = 1 << 12
@@ -212,5 +212,5 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", out_of.alias("held_out"), "text", has_letter(F.col("text")).alias("letter"))
+    rows = small_batches(docs).select("doc_id", out_of.alias("held_out"), "text", has_letter(F.col("text")).alias("letter"))
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

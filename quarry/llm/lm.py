@@ -4,7 +4,7 @@ Tokens are the words of a text and one end. The model predicts a token's class f
 their own, all others share CLASSES classes by their last bytes; within such a class a word has its smoothed share of the class's training count. So
 P(token) = P(class | two classes before) * P(token | class), a normalised distribution over all training words and one unseen word a class.
 
-Passes over the texts: count the training words (hash, count; partial sums, one shuffle); train (each task follows the whole of its texts' sampled blocks
+Passes over the texts: count the training words (hash, count; partial sums, one shuffle); train (each task follows all its texts
 from a common start, and the tasks' parameters are averaged by a tree of bounded groups); score. Counts of the frequent words travel to the tasks as a table of
 bounded size; the others are joined. Words are known by their 64-bit XXH64.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .words import Table
-from .common import blobs, columns, cut, held_out, text_chunks
+from .common import blobs, columns, cut, held_out, small_batches, text_chunks
 
 #: Tokens that are classes of their own, and classes of the other words.
 HEAD, CLASSES = 448, 64
@@ -33,8 +33,6 @@ FREQUENT = 1 << 18
 #: The hash that stands for the end of a text, and the class that stands before its beginning.
 END_HASH, BEGIN = np.uint64(0x5BD1E9955BD1E995), OUTPUTS
 DIMENSIONS, BATCH, NOISE, RATE = 24, 4096, 96, 0.15
-#: Blocks of so many words; one block in BLOCK_SHARE of each training text is trained on, another one in each text.
-BLOCK, BLOCK_SHARE = 128, 4
 #: Training words of the common start, on the driver, and the passes over them.
 WARM_WORDS, WARM_PASSES = 300_000, 3
 #: Words whose counts a task sums up before it hands them on.
@@ -215,15 +213,12 @@ def _frequent(counts: DataFrame) -> Frequent:
     return Frequent(Table(h, np.arange(len(h))), c, classes)
 
 
-def _blocks(texts: list[bytes], frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
-    """(class, place in text) of the tokens of the texts' sampled blocks, two tokens of context before each block included."""
+def _classes(texts: list[bytes], frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """(class, place in text up to 2) of all tokens."""
     h, rare, doc = _tokens(texts)
     _, cls = frequent.find(h, rare)
-    begins = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1]) if len(doc) else np.zeros(0, np.int64)
-    place = np.arange(len(doc)) - np.repeat(begins, np.diff(np.append(begins, len(doc))))
-    turn = (words.mix(h[begins]) % np.uint64(BLOCK_SHARE)).astype(np.int64)
-    chosen = (place // BLOCK + turn[doc]) % BLOCK_SHARE == 0
-    return cls[chosen], np.where(place[chosen] % BLOCK < 2, place[chosen] % BLOCK, 2)
+    begins = np.searchsorted(doc, np.arange(len(texts)))
+    return cls, np.minimum(np.arange(len(doc)) - begins[doc], 2)
 
 
 def _average(vectors: DataFrame) -> np.ndarray | None:
@@ -255,11 +250,11 @@ def train(training: DataFrame, frequent: Frequent, noise: np.ndarray, tokens: in
 
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
-            cls, place = _blocks(blobs(batch), known.value)
+            cls, place = _classes(blobs(batch), known.value)
             yield pa.RecordBatch.from_arrays([pa.array(cls.astype(np.int16)), pa.array(place.astype(np.int8))], ["cls", "place"])
 
     p = start_parameters(noise)
-    share = min(1.0, WARM_WORDS * BLOCK_SHARE / max(tokens, 1))
+    share = min(1.0, WARM_WORDS / max(tokens, 1))
     some = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
     got = columns(some.mapInArrow(classes_of, "cls short, place byte").limit(4 * WARM_WORDS))
     if len(got["cls"]):
@@ -273,7 +268,7 @@ def train(training: DataFrame, frequent: Frequent, noise: np.ndarray, tokens: in
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trainer(unpack(start.value), noise, seed=2)
         for batch in text_chunks(batches):
-            own.fit(*_blocks(blobs(batch), known.value))
+            own.fit(*_classes(blobs(batch), known.value))
         if own.seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(own.seen)]), pa.array([pack(own.p).tobytes()], pa.binary())], ["weight", "v"])
 
@@ -289,7 +284,7 @@ def score(docs: DataFrame) -> DataFrame:
     Further columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     out_of = held_out(F.col("doc_id"), 1)
     training = docs.where(~out_of)
     counts = cut(count_tokens(training))

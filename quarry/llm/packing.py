@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import blobs, shared_dir, text_chunks
+from .common import blobs, shared_dir, small_batches, text_chunks
 from .hilbert import hilbert_key
 
 #: Tokens of a sequence; what ends a document; the tokenizer's file.
@@ -166,7 +166,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(total), data], ["doc_id", "key", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
+    rows = small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
     place = F.col("key") * (1 << SCRAMBLE_BITS) + F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << SCRAMBLE_BITS))
     return rows.select("doc_id", place.alias("place"), "n", "ids")
 
@@ -174,7 +174,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
 def _stored(tokens: DataFrame) -> DataFrame:
     """tokens written once, compressed, in the shared folder, and read from there."""
     folder = f"{shared_dir(tokens.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    tokens.write.option("compression", "zstd").parquet(folder)
+    tokens.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(folder)
     return tokens.sparkSession.read.schema(tokens.schema).parquet(folder)
 
 
@@ -188,9 +188,11 @@ def _last_cuts(tokens: int, context: int) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): the pieces of all documents, ids being the piece's tokens (16 bits each).
 
+    digest: in place of ids comes ids_crc32, the CRC-32 of the piece's ids as 32-bit integers.
+
     Null and empty texts are an end alone. Documents of equal keys go by a scramble of their ids; repeated rows are packed as often as they occur. A text
     however long is cut where sequences end. Further columns are ignored; an empty table gives an empty result.
     """
@@ -201,12 +203,14 @@ def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None) -> Da
     parts = int(max(1, min(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total / PART_BYTES))))
     cut_at = tokens.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     bounds = np.unique(np.array(cut_at or [], dtype=np.int64))
-    parted = tokens.mapInArrow(_parts(bounds), f"doc_id {kind}, place long, n long, ids binary, part int")
-    sizes = dict(tokens.select("place", "n").mapInArrow(_parts(bounds), "place long, n long, part int").groupBy("part").agg(F.sum("n")).collect())
+    parted = tokens.withColumn("part", _part(F.col("place"), bounds))
+    sizes = dict(parted.groupBy("part").agg(F.sum("n")).collect())
     ahead = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(len(bounds) + 1)])]).astype(np.int64)
     full = total // context
     edges = np.array([a for a, _ in _last_cuts(total, context)] + [total], dtype=np.int64)
 
+    names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = -1, 0
         for whole in batches:
@@ -230,35 +234,25 @@ def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None) -> Da
                         at = to
                 index = pa.array(row, pa.int64())
                 count = lambda x: pa.array(x, pa.int64())
+                ids = count([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in piece]) if digest else pa.array(piece, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), count(start), count(length), pa.array(piece, pa.binary()), batch.column(1).take(index), count(seq), count(offset)],
-                    ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                    [batch.column(0).take(index), count(start), count(length), ids, batch.column(1).take(index), count(seq), count(offset)],
+                    names,
                 )
 
     spread = parted.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "doc_id", "ids")
-    return spread.select("doc_id", "n", "ids", "part").mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-
+    held = "ids_crc32 long" if digest else "ids binary"
+    return spread.select("doc_id", "n", "ids", "part").mapInArrow(run, f"doc_id {kind}, start long, length long, {held}, doc_tokens long, sequence_id long, offset long")
 
-def _parts(bounds: np.ndarray):
-    """A mapper that adds the part, counted from 0, in which each row's place lies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(batch.schema.get_field_index("place")).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(bounds, place, side="left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
 
-    return run
+def _part(place: Column, bounds: np.ndarray) -> Column:
+    """How many of the sorted bounds lie below the place, by binary search."""
+    steps = max(1, int(len(bounds)).bit_length())
+    padded = F.lit(np.concatenate([bounds, np.full((1 << steps) - len(bounds), np.iinfo(np.int64).max)]).tolist()).cast("array<bigint>")
+    halves = F.array(*[F.lit(1 << (steps - 1 - k)) for k in range(steps)])
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(padded, at + half - 1) < place, at + half).otherwise(at))
 
 
 def pack_digests(docs: DataFrame, context: int = CONTEXT, path: str | None = None) -> DataFrame:
     """The result columns of the query: pack's pieces, the CRC-32 of their ids as 32-bit integers in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column(3).to_pylist()]
-            cols = [*batch.columns[:3], pa.array(crc, pa.int64()), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return pack(docs, context, path).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pack(docs, context, path, digest=True)

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import words
-from .common import blobs, cut, text_chunks
+from .common import blobs, cut, small_batches, text_chunks
 
 #: Least words, and most percent of words in repeated windows, of the base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -93,21 +94,21 @@ def counts(texts: list[bytes], strings: pa.Array) -> dict[str, np.ndarray]:
     return out | {"n_dup_lines": dup, "n_lines": n_lines, "n_upper": upper}
 
 
-def measured(docs: DataFrame, keep: list) -> DataFrame:
-    """The columns `keep` of docs, with COUNTS of the text column, each in a column named _<count>."""
+def measured(docs: DataFrame, text: str, with_text: bool = False) -> DataFrame:
+    """docs, with or without the column `text`, with its COUNTS, each in a column named _<count>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, "_text"):
-            at = batch.schema.get_field_index("_text")
-            found = counts(blobs(batch, "_text"), batch.column(at))
-            cols = [c for i, c in enumerate(batch.columns) if i != at] + [pa.array(found[k].astype(np.int64)) for k in COUNTS]
-            yield pa.RecordBatch.from_arrays(cols, [n for n in batch.schema.names if n != "_text"] + [f"_{k}" for k in COUNTS])
-
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
-    schema = chosen.drop("_text").schema
+        for batch in text_chunks(batches, text):
+            at = batch.schema.get_field_index(text)
+            found = counts(blobs(batch, text), batch.column(at))
+            kept = [i for i in range(batch.num_columns) if with_text or i != at]
+            cols = [batch.column(i) for i in kept] + [pa.array(found[k].astype(np.int64)) for k in COUNTS]
+            yield pa.RecordBatch.from_arrays(cols, [batch.schema.names[i] for i in kept] + [f"_{k}" for k in COUNTS])
+
+    schema = StructType(list((docs if with_text else docs.drop(text)).schema.fields))
     for k in COUNTS:
         schema = schema.add(f"_{k}", "long")
-    return chosen.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _ratios() -> dict[str, Column]:
@@ -164,10 +165,10 @@ def limits(sketch: DataFrame) -> DataFrame:
     return worked.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("most"))).alias(f"max_{k}") for k in FLOORS])
 
 
-def judged(stats: DataFrame, thresholds: DataFrame) -> DataFrame:
+def judged(stats: DataFrame, thresholds: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """stats with base_failed and kept, by a join on language and source (nulls as '')."""
     t = thresholds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"max_{k}").alias(f"_max_{k}") for k in FLOORS])
-    on = (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.coalesce("source", F.lit("")) == F.col("_source"))
+    on = (F.coalesce(lang, F.lit("")) == F.col("_lang")) & (F.coalesce(source, F.lit("")) == F.col("_source"))
     joined = stats.join(t, on, "left")
     fine = F.lit(True)
     for k, ratio in _ratios().items():
@@ -181,7 +182,7 @@ def quality(docs: DataFrame) -> DataFrame:
     Null texts are empty (and fail the base rules), null languages and sources make groups of their own; repeated rows
     count as often as they occur; further columns are ignored; an empty table gives an empty result.
     """
-    stats = cut(measured(docs, ["doc_id", "lang", "source"]))
+    stats = cut(measured(docs.select("doc_id", "lang", "source", "text"), "text"))
     out = judged(stats, limits(sketches(stats)))
     plain = [F.col(f"_{k}").alias(k) for k in COUNTS[:5]]
     return out.select("doc_id", *plain, "base_failed", "kept", *[v.alias(k) for k, v in _ratios().items()])
@@ -189,7 +190,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns. Texts are measured twice and never shuffled."""
-    stats = cut(measured(docs, ["lang", "source"]))
+    stats = cut(measured(docs.select("lang", "source", "text"), "text"))
     thresholds = cut(limits(sketches(stats)))
-    again = measured(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source"])
-    return judged(again, thresholds).where("kept").select("row.*")
+    # Columns go by their place, so that none can clash with the counts.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    again = measured(docs.toDF(*own), at["text"], with_text=True)
+    kept = judged(again, thresholds, at["lang"], at["source"]).where("kept")
+    return kept.select(*[F.col(k).alias(name) for name, k in at.items()])

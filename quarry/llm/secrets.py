@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DataType
 
-from .common import cut, text_chunks
+from .common import cut, small_batches, text_chunks
 
 _ddl = DataType.fromDDL
 
@@ -214,7 +214,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*names, "base", "more"])
 
     schema = docs.drop("text").schema.add("base", _ddl("array<struct<start:bigint,stop:bigint,kind:string,secret:string>>")).add("more", _ddl("array<struct<start:bigint,stop:bigint,secret:string>>"))
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def learn(scanned: DataFrame, plain: DataFrame) -> Formats:
@@ -317,7 +317,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = small_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

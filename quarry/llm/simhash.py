@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import blobs, cut, text_chunks
+from .common import blobs, cut, small_batches, text_chunks
 from .components import components
 
 #: Differing bits up to which the code below finds every link.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def anchors(fp: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +227,7 @@ def _wide(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in (*marks, *parts)]], ["doc_id", "t1", "t2", "f0", "f1", "f2", "f3"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import blobs, cut, text_chunks
+from .common import blobs, cut, small_batches, text_chunks
 
 SPAN, MIN_WORDS, MAX_SENTENCE = 3, 10, 16
 _STOPS = np.zeros(256, dtype=bool)
@@ -63,7 +63,7 @@ def _spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array((at - base[doc[at]]).astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "i", "h"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, i int, h long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, i int, h long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
