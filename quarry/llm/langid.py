@@ -1,7 +1,7 @@
 """Language identification by hierarchical discrimination: the language family first, then one-versus-one support vector machines within it.
 
 A text is its relative frequencies of hashed byte n-grams (1 to 3 bytes of lower-cased letters, words padded by blanks), square-rooted and scaled to length
-one. Families come from the training data: languages whose mean vectors are close are one family (single linkage). The family model is one
+one. Families come from the training data: languages whose mean vectors are closer than those of all on average are joined (average linkage). The family model is one
 linear machine for each family against the rest; within a family of several languages there is one linear machine for each pair, and pairwise
 votes decide, summed margins breaking ties. All machines are trained in numpy by dual coordinate descent on a bounded sample of labelled documents.
 """
@@ -22,8 +22,6 @@ from .common import blobs, cut, held_out, small_batches, text_chunks
 SLOTS = 1 << 12
 #: Labelled documents of each language, and of all languages, that the machines are fitted on, at most (those of least hash).
 PER_LANGUAGE, SAMPLE_LIMIT = 400, 6000
-#: Languages whose mean vectors have at least this cosine are one family.
-FAMILY_COSINE = 0.55
 #: Cost of a margin violation, and passes over the sample.
 COST, PASSES = 4.0, 30
 UNKNOWN = "und"
@@ -126,20 +124,16 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
     langs = sorted(set(labels))
     y = np.array([langs.index(v) for v in labels])
     means = np.stack([x[y == k].mean(axis=0) for k in range(len(langs))])
-    centred = means - means.mean(axis=0)
-    centred /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
     unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
     cosine = unit @ unit.T
-    # The bar is set between the least and the mean likeness of languages, so that some pairs are always apart.
+    # Average linkage, as long as two families are more alike than languages are on average.
     off = cosine[~np.eye(len(langs), dtype=bool)]
-    bar = max(FAMILY_COSINE, float(off.mean())) if len(off) else 1.0
-    family = list(range(len(langs)))
-    for i in range(len(langs)):
-        for j in range(i):
-            if cosine[i, j] > bar:
-                old, new = family[i], family[j]
-                family = [new if f == old else f for f in family]
-    groups = [[k for k in range(len(langs)) if family[k] == f] for f in dict.fromkeys(family)]
+    groups = [[k] for k in range(len(langs))]
+    while len(groups) > 1:
+        near, i, j = max((float(cosine[np.ix_(g, h)].mean()), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups[:i]))
+        if near <= float(off.mean()) + 1e-9:
+            break
+        groups[j] = sorted(groups[j] + groups.pop(i))
     if len(groups) == 1:
         top = (np.zeros((1, x.shape[1]), np.float32), np.zeros(1, np.float32))
     else:
