@@ -8,14 +8,13 @@ background automaton learned in the same way from ordinary strings; one that the
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import DataType
@@ -35,7 +34,7 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_CANDIDATE = 20
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
-#: Most labelled strings of a kind, and most background strings, that an automaton is learned from (those of least hash).
+#: Labelled strings of a kind, and background strings, that an automaton is learned from at most.
 TRAIN_LIMIT = 1500
 #: Longer strings are scored, but not learned from.
 TRAIN_LENGTH = 512
@@ -218,25 +217,33 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def learn(scanned: DataFrame, plain: DataFrame) -> Formats:
-    """Formats from the labelled credentials of the whole corpus, of which at most TRAIN_LIMIT distinct ones of each kind (by least hash) are used.
+    """Formats from the labelled credentials of the whole corpus, of which about TRAIN_LIMIT different ones of each kind, drawn by hash, are used.
 
-    plain: (text); its words that are letters throughout, joined to candidate length, make the background, at most TRAIN_LIMIT of them.
+    plain: (text); its words that are letters throughout, joined to candidate length, make the background: five from each of about TRAIN_LIMIT texts, drawn by hash.
     """
     labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.secret").where(F.length("secret") <= TRAIN_LENGTH).distinct()
     kinds = {}
-    for kind in KINDS:
-        rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("secret"), "secret").limit(TRAIN_LIMIT).collect()
-        strings = [r.secret for r in rows]
+    total = {r.kind: r.n for r in labelled.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    for kind, n in sorted(total.items()):
+        rows = labelled.where((F.col("kind") == kind) & _drawn(F.col("secret"), n)).collect()
+        strings = sorted(r.secret for r in rows)[:: max(1, math.ceil(len(rows) / TRAIN_LIMIT))]
         if len(strings) >= 20:
             automaton = infer(strings)
             scores = sorted(automaton.bits(s) for s in strings)
             kinds[kind] = (automaton, scores[int(KEEP_QUANTILE * len(scores))])
     if not kinds:
         return Formats({}, None)
-    some = plain.where("text is not null").select(F.xxhash64("text").alias("h"), "text").distinct().orderBy("h", "text").limit(TRAIN_LIMIT)
-    runs = some.select("h", F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), 0).alias("w")).where("size(w) >= 5")
-    rows = runs.select(F.array_join(F.slice("w", (F.pmod("h", F.size("w") - 4) + 1).cast("int"), 5), "-").alias("s")).where(F.length("s") <= TRAIN_LENGTH).collect()
-    return Formats(kinds, infer([r.s for r in rows]) if rows else None)
+    # Only drawn texts are taken apart, and of each only five words leave its task.
+    some = plain.where(_drawn(F.col("text"), plain.count())).select(F.xxhash64("text").alias("h"), F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), 0).alias("w")).where("size(w) >= 5")
+    five = F.array_join(F.slice("w", (F.pmod("h", F.size("w") - 4) + 1).cast("int"), 5), "-")
+    rows = some.select(five.alias("s")).where(F.length("s") <= TRAIN_LENGTH).distinct().limit(4 * TRAIN_LIMIT).collect()
+    ordinary = sorted(r.s for r in rows)
+    return Formats(kinds, infer(ordinary[:: max(1, math.ceil(len(ordinary) / TRAIN_LIMIT))]) if ordinary else None)
+
+
+def _drawn(value: Column, n: int) -> Column:
+    """True for about TRAIN_LIMIT of n values, by their hash."""
+    return F.pmod(F.xxhash64(value), F.lit(1 << 30)) < int(min(1.0, TRAIN_LIMIT / max(n, 1)) * (1 << 30)) + 1
 
 
 def _apply(scanned: DataFrame, formats: Formats) -> DataFrame:
@@ -319,8 +326,3 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     out = small_batches(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
-
-
-def digest(spans: list[tuple[int, int, str, str]]) -> str:
-    """What base_sha256 is for these base spans."""
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k, _ in spans).encode()).hexdigest()
