@@ -1,7 +1,7 @@
 """SimHash fingerprints, and links between close ones by anchor-point covering.
 
-The anchors are a covering code: the words of the Hamming code of length 63 (shortened for narrower fingerprints),
-with any bits beyond the 63rd left free. Every bit string has an anchor within covering radius R = 1. Two fingerprints that
+The anchors are a covering code: the words of the Hamming code of length 63 (narrower fingerprints are filled with zeros up
+to it, for a shortened code has a larger covering radius), with any bits beyond the 63rd left free. Every bit string has an anchor within covering radius R = 1. Two fingerprints that
 differ in at most t = 2 bits have a midpoint within t / 2 = 1 of both, and that midpoint an anchor within R: so both meet at
 an anchor within R + t / 2 = 2, and replicating each fingerprint to its anchors within 2 (33 of them) finds every link,
 where R + t with no use of the midpoint would take 684. An anchor cannot meet more than 1 + 64 + 2016 different
@@ -62,12 +62,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def anchors(fp: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(row, anchor): for each fingerprint of `bits` bits its anchors within distance 2.
+    """(row, anchor): for each fingerprint of `bits` bits its anchors within distance 2; of fewer than 63 bits the rest are zeros, but not the anchors'.
 
     Bits 1 to 63 of the code are bits 0 to 62 of the fingerprint; the syndrome of a fingerprint is the exclusive or of
     the numbers of its set bits, and is zero for a codeword.
     """
-    n = min(bits, 63)
+    n = 63
     syndrome = np.zeros(len(fp), dtype=np.int64)
     for k in range(1, n + 1):
         syndrome ^= np.where((fp >> np.uint64(k - 1)) & np.uint64(1), k, 0)

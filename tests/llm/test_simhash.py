@@ -67,3 +67,29 @@ def test_simhash_components_match_brute_force(spark):
     linked = [(a, b) for a, b in itertools.combinations(fp, 2) if bin(fp[a] ^ fp[b]).count("1") <= 2]
     assert {r.doc_id: r.component_id for r in out} == brute_components(list(fp), linked)
     assert simhash_components(docs.limit(0)).count() == 0
+
+
+def test_narrow_fingerprints_meet_at_an_anchor():
+    import numpy as np
+    from quarry.llm.simhash import anchors
+
+    rng = random.Random(21)
+    for bits in (31, 40, 62, 63, 64):
+        for x in [0, (1 << bits) - 1, *(rng.getrandbits(bits) for _ in range(4))]:
+            near = [x ^ (1 << i) ^ (1 << j if j != i else 0) for i in range(bits) for j in range(i, bits)]
+            row, anchor = anchors(np.array([x, *near], dtype=np.uint64), bits)
+            at = {}
+            for r, a in zip(row.tolist(), anchor.tolist()):
+                at.setdefault(r, set()).add(a)
+            assert all(at[0] & at[k] for k in range(1, len(near) + 1)), bits
+
+
+def test_narrow_links_connect_what_brute_force_connects(spark):
+    rng = random.Random(22)
+    fps = set()
+    for _ in range(150):
+        x = rng.getrandbits(40)
+        fps |= {x, x ^ (1 << rng.randrange(40)), x ^ (1 << rng.randrange(20)) ^ (1 << rng.randrange(20, 40))}
+    got = [(r.fp_a, r.fp_b) for r in links(spark.createDataFrame([(0, x) for x in fps], "block long, fp long"), 40).collect()]
+    true = [(a, b) for a, b in itertools.combinations(fps, 2) if bin(a ^ b).count("1") <= 2]
+    assert brute_components(fps, got) == brute_components(fps, true)
