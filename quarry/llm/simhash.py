@@ -10,15 +10,15 @@ fingerprints, whatever the data: copies are folded into one row before, and no g
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import blobs, cut, small_batches, text_chunks
+from .common import blobs, columns, cut, small_batches, text_chunks
 from .components import components
 
 #: Differing bits up to which the code below finds every link.
@@ -200,10 +200,60 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42) -> DataF
 
 #: Near-duplicate search: blocks of the wide fingerprint, bits of each, and the similarity of word shingles that makes a link.
 BLOCKS, BLOCK_BITS, SHINGLE, SIMILARITY = 4, 40, 5, 0.8
+#: Shingles in this many of one in SAMPLE texts come last in the order of prefixes, COMMON of them at most. Speed hangs on them, results don't.
+SAMPLE, COMMON_IN, COMMON = 16, 3, 1 << 17
+#: Rounds that compare a bucket's members with one of them, before all its pairs are compared that are still apart.
+STARS = 1
+#: Shared shingles, or ids of texts to compare, that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Bytes of shingle sets up to which they are broadcast to the pairs.
+BROADCAST_SETS = 32_000_000
 
 
-def _wide(docs: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, f0..f3): two hashes of the text's words in order, and four 40-bit SimHashes of its set of words, one bit string cut in four."""
+def _few(df: DataFrame) -> DataFrame:
+    """df, written, and broadcast in joins if it is small."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    """The hashes, sorted, of the shingles that a sample of the texts shows to be common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            w = words.split(blobs(batch))
+            start, length, doc = w.shingles(width)
+            h = words.xxh64(w.buf, start, length)
+            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            for a, b in zip(edge, edge[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[a:b]).view(np.int64))], ["h"])
+
+    some = small_batches(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long")
+    counted = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_IN)
+    return np.sort(columns(counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h"))["h"].astype(np.int64).view(np.uint64))
+
+
+def _prefixes(h: np.ndarray, doc: np.ndarray, texts: int, common: np.ndarray, similarity: float) -> tuple[np.ndarray, pa.ListArray]:
+    """Each text's number of different shingles and the first of them, common ones last: two texts that are `similarity` alike share one of these."""
+    late = np.zeros(len(h), dtype=bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+    order = np.lexsort((h, late, doc))
+    h, doc = h[order], doc[order]
+    once = np.ones(len(h), dtype=bool)
+    once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[once], doc[once]
+    n = np.bincount(doc, minlength=texts)
+    most = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+    first = np.cumsum(n) - n
+    kept = h[np.arange(len(h)) - first[doc] < most[doc]]
+    ends = np.concatenate([[0], np.cumsum(np.minimum(most, n))]).astype(np.int32)
+    return n, pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.view(np.int64)))
+
+
+def _wide(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, t1, t2, f0..f3, n, p): two hashes of the text's words in order, four 40-bit SimHashes of its set of words, one bit string cut in four, and its prefix."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << BLOCK_BITS) - 1)
@@ -224,10 +274,13 @@ def _wide(docs: DataFrame) -> DataFrame:
                 f = [majority_bits(words.mix(h[one] + np.uint64(k)) if k else h[one], w.doc[one], n) for k in range(3)]
             rest = np.uint64(BLOCK_BITS)
             parts = [x & mask for x in f] + [(f[0] >> rest) | ((f[1] >> rest) & np.uint64(0xFFFF)) << np.uint64(24)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x.view(np.int64)) for x in (*marks, *parts)]], ["doc_id", "t1", "t2", "f0", "f1", "f2", "f3"])
+            start, length, doc = w.shingles(width)
+            size, prefix = _prefixes(words.xxh64(w.buf, start, length), doc, n, common.value, similarity)
+            cols = [*[pa.array(x.view(np.int64)) for x in (*marks, *parts)], pa.array(size.astype(np.int32)), prefix]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "t1", "t2", "f0", "f1", "f2", "f3", "n", "p"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long, n int, p array<long>")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -264,17 +317,63 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _possible(x: str, y: str, similarity: float) -> Column:
+    """Whether texts that share the shingles at x.at and y.at of their orders, and none before, can be so alike, by their sizes and what is left of them."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    shared = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+    return shared * (1 + similarity) >= similarity * n - 1e-6
+
+
+def _of_prefixes(texts: DataFrame, linked: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """components() of the links that `linked`, components of texts, and all pairs of texts that are alike make.
+
+    Texts that are alike share a shingle of their prefixes. Only shingles that texts of different components share are looked at: each of these texts is first
+    compared with one of them, and what is still in different components then pair by pair.
+    """
+
+    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
+        named = of.select(F.col("node").alias("id"), "component")
+        return rows.join(named, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
+
+    def met(rows: DataFrame) -> DataFrame:
+        return cut(rows.join(_few(apart(rows)), "h").select("h", "id", "n", "at"))
+
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        found = alike(cut(pairs.distinct()))
+        return cut(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
+
+    left = met(placed(texts.select("id", "n", "p"), linked).select("id", "part", "n", F.posexplode("p").alias("at", "h")))
+    for k in range(STARS + 1):
+        if left.isEmpty():
+            return linked
+        now = placed(left, linked)
+        if k < STARS:
+            star = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h", F.lit(k)), "id", "n", "at", "part")).alias("one"))
+            both = now.alias("x").join(star.select("h", "one.*").alias("y"), "h")
+        else:
+            both = now.alias("x").join(now.alias("y"), "h").where("x.id < y.id")
+        both = both.where((F.col("x.part") != F.col("y.part")) & _possible("x", "y", similarity))
+        linked = linked_by(both.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")))
+        if k < STARS:
+            left = met(placed(left, linked))
+    return linked
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, group_id): for each document with a link or a copy its group's smallest doc_id; the rest has no row.
 
-    Texts with the same words in the same order are copies. Of the others, those are candidates that come within 2 bits in some block of a 160-bit fingerprint (so
-    links needn't be close in all of it); a candidate links if the sets of its word shingles are at least `similarity` alike. Two texts of that
-    similarity have few different words, about one in 45, and a fingerprint of the set of words then differs in about one bit in 15. In a group of equal
-    blocks each text is compared to the first, in an anchor's group along a spanning forest: no group emits all its pairs.
-    Rows with a null doc_id take no part.
+    Texts with the same words in the same order are copies. Two others link if the sets of their word shingles are at least `similarity` alike; a group is what
+    links and copies connect, and none is missed. Most links are found among the texts that come within 2 bits in some block of a 160-bit fingerprint:
+    in a group of equal blocks each text is compared to the first, in an anchor's group along a spanning forest. Those that this leaves out share
+    a shingle of their prefixes (see _of_prefixes), where texts of one group needn't be compared again. Rows with a null doc_id take no part.
     """
-    wide = cut(_wide(docs.where("doc_id is not null")))
-    texts = cut(wide.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(BLOCKS)]))
+    known = docs.where("doc_id is not null")
+    wide = cut(_wide(known, width, similarity))
+    texts = cut(wide.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(BLOCKS)], F.min("n").alias("n"), F.any_value("p").alias("p")))
+    wide = wide.select("doc_id", "t1", "t2")
     blocks = texts.select("id", F.posexplode(F.array(*[f"f{k}" for k in range(BLOCKS)])).alias("block", "fp")).withColumn("block", F.col("block").cast("long"))
     distinct = cut(blocks.groupBy("block", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     same = blocks.join(distinct.where("n > 1"), ["block", "fp"]).where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
@@ -282,10 +381,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     of = lambda end, name: distinct.select("block", F.col("fp").alias(end), F.col("least").alias(name))
     across = near.join(of("fp_a", "x"), ["block", "fp_a"]).join(of("fp_b", "y"), ["block", "fp_b"])
     across = across.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    pairs = cut(same.union(across).distinct())
-    asked = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = cut(_shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id"), width).groupBy("doc_id").agg(F.any_value("s").alias("s")))
-    of_text = components(_similar(pairs, sets, similarity))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        # The text of asked documents isn't shuffled while their ids fit a broadcast.
+        sets = cut(_shingle_sets(known.select("doc_id", "text").join(_few(asked), "doc_id"), width).groupBy("doc_id").agg(F.any_value("s").alias("s")))
+        small = (sets.agg(F.sum(F.length("s"))).first()[0] or 0) <= BROADCAST_SETS
+        return _similar(pairs, F.broadcast(sets) if small else sets, similarity)
+
+    of_text = _of_prefixes(texts, cut(components(alike(cut(same.union(across).distinct())))), alike, similarity)
     named = texts.join(of_text, texts["id"] == of_text["node"], "left").select("t1", "t2", "id", F.coalesce("component", "id").alias("group_id"))
     return wide.join(named, ["t1", "t2"]).where("doc_id <> id or group_id <> id").select("doc_id", "group_id").distinct()
 

@@ -64,3 +64,39 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, " ".join(w)))
     left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert left <= 8
+
+
+def test_edits_in_one_place_and_drift_are_found(spark):
+    rng = random.Random(19)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for n in (30, 60, 200, 500, 1500):
+        for _ in range(4):
+            base, k = fresh(n), n // 12
+            at = rng.randrange(n - k)
+            docs += [base, base + fresh(n // 6), base[: n - n // 6], base[:at] + fresh(k - 4 if k > 4 else 1) + base[at + k :], base[at + k :] + base[:at]]
+    for _ in range(4):
+        # Each text has a shared half; those in sequence are alike, those far apart are not.
+        base = fresh(300)
+        for _ in range(12):
+            docs.append(list(base))
+            base = base[25:] + fresh(25)
+    page = fresh(100)
+    docs += [page + fresh(200) for _ in range(30)]
+    rng.shuffle(docs)
+    texts = [" ".join(w) for w in docs]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if alike(sets[a], sets[b]):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r.doc_id: r.group_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({root(i) for i in range(len(docs))}) < len(docs) - 60
+    assert {i: got.get(i, i) for i in range(len(docs))} == {i: root(i) for i in range(len(docs))}
