@@ -2,8 +2,9 @@
 
 Grammar inference: the labelled credentials (what the fixed patterns match) make a prefix tree over character classes; states
 whose outgoing frequencies are statistically compatible (Hoeffding bounds, recursively) are merged, red-blue order, into a probabilistic automaton
-for each kind. Every candidate string of the corpus is then scored by its format likelihood under each automaton, against a
-background automaton learned in the same way from ordinary strings; one that the formats explain much better is reported.
+for each kind. Every candidate string of the corpus (a run of the credentials' alphabet, as long as the shortest label at least) is then scored by its
+format likelihood under each automaton, against a background automaton learned in the same way from ordinary strings; one that the formats explain
+much better is reported.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: A candidate is a longest run of these, at least so long, with a digit and a letter.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-MIN_CANDIDATE = 20
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+#: Least characters of a labelled credential of each kind.
+LEAST = {"assign": 8, "access": 16, "hex": 32}
+#: A candidate is a longest run of the labels' alphabet, as long as the shortest of them at least; points at its ends are the sentence's.
+MIN_CANDIDATE = min(LEAST.values())
+_EDGE = "[A-Za-z0-9+/_=-]"
+_RUN = re.compile(rf"{_EDGE}[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE - 2},}}(?<!\.)")
+_LONG = re.compile(rf"{_EDGE}{{{LEAST['hex']},}}")
+#: Ordinary runs that the background takes from a drawn text at most, and scores that a task remembers.
+BACKGROUND_RUNS, REMEMBERED = 5, 200_000
 #: Labelled strings of a kind, and background strings, that an automaton is learned from at most.
 TRAIN_LIMIT = 1500
 #: Longer strings are scored, but not learned from.
@@ -55,18 +61,17 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     found = []
     low = text.lower()
     if any(k in low for k in _KEYWORDS):
-        found += [(m.start(), m.end(), "assign", m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [(m.start(), m.end(), "assign", m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
-        found += [(m.start(), m.end(), "access", m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
-    for run in _RUN.finditer(text):
-        if len(run[0]) >= 32:
-            found += [(run.start() + m.start(), run.start() + m.end(), "hex", m[0]) for m in _HEX.finditer(run[0])]
+        found += [(m.start(), m.end(), "access", m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
+    for run in _LONG.finditer(text):
+        found += [(run.start() + m.start(), run.start() + m.end(), "hex", m[0]) for m in _HEX.finditer(run[0])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, string) of every candidate."""
-    return [(m.start(), m.end(), m[0]) for m in _RUN.finditer(text) if _MIXED.match(m[0])]
+    return [(m.start(), m.end(), m[0]) for m in _RUN.finditer(text)]
 
 
 def symbols(s: str) -> tuple[str, float]:
@@ -184,42 +189,61 @@ class Formats:
 
     kinds: dict[str, tuple[Automaton, float]]
     background: Automaton | None
+    #: Scores of strings seen before: most candidates are words of the language.
+    known: dict[str, float | None] = field(default_factory=dict)
 
     def accept(self, s: str) -> float | None:
         """The best score of a string that a format explains, else None."""
+        if s in self.known:
+            return self.known[s]
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        best = self.known[s] = self._score(s)
+        return best
+
+    def _score(self, s: str) -> float | None:
         best = None
-        for automaton, least in self.kinds.values():
+        for kind, (automaton, least) in self.kinds.items():
+            # Nothing shorter is labelled so: the format doesn't know it.
+            if len(s) < LEAST[kind]:
+                continue
             score = automaton.bits(s)
             if score >= least and (self.background is None or score - self.background.bits(s) >= MARGIN_BITS):
                 best = score if best is None else max(best, score)
         return best
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    """The columns of docs without text, and base: [(start, end, kind, secret)], more: [(start, end, string)]."""
+def _scan(texts: DataFrame) -> DataFrame:
+    """(base): of each text [(kind, secret)], its labelled credentials."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("secret", pa.string())]))
         for batch in text_chunks(batches):
-            at = batch.schema.get_field_index("text")
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            base = [base_spans(t) for t in texts]
-            more = [candidates(t) for t in texts]
-            cols = [c for i, c in enumerate(batch.columns) if i != at]
-            names = [n for n in batch.schema.names if n != "text"]
-            base_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("secret", pa.string())]))
-            more_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("secret", pa.string())]))
-            keyed = lambda rows, keys: [[dict(zip(keys, x)) for x in r] for r in rows]
-            cols += [pa.array(keyed(base, ("start", "stop", "kind", "secret")), base_type), pa.array(keyed(more, ("start", "stop", "secret")), more_type)]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "base", "more"])
-
-    schema = docs.drop("text").schema.add("base", _ddl("array<struct<start:bigint,stop:bigint,kind:string,secret:string>>")).add("more", _ddl("array<struct<start:bigint,stop:bigint,secret:string>>"))
-    return small_batches(docs).mapInArrow(run, schema)
+            base = [[{"kind": k, "secret": x} for _, _, k, x in base_spans(t or "")] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(base, kind)], ["base"])
+
+    return small_batches(texts).select("text").mapInArrow(run, "base array<struct<kind:string,secret:string>>")
+
+
+def _ordinary(texts: DataFrame) -> DataFrame:
+    """(s): candidates of the texts that aren't labelled, BACKGROUND_RUNS of each text at most, evenly spaced."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            out = []
+            for t in batch.column(0).to_pylist():
+                taken = [(a, b) for a, b, _, _ in base_spans(t or "")]
+                found = [x for a, b, x in candidates(t or "") if len(x) <= TRAIN_LENGTH and not any(a < e and f < b for f, e in taken)]
+                out += found[:: max(1, math.ceil(len(found) / BACKGROUND_RUNS))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["s"])
+
+    return small_batches(texts).select("text").mapInArrow(run, "s string")
 
 
 def learn(scanned: DataFrame, plain: DataFrame) -> Formats:
     """Formats from the labelled credentials of the whole corpus, of which about TRAIN_LIMIT different ones of each kind, drawn by hash, are used.
 
-    plain: (text); its words that are letters throughout, joined to candidate length, make the background: five from each of about TRAIN_LIMIT texts, drawn by hash.
+    plain: (text); about TRAIN_LIMIT texts, drawn by hash, make the background: from each five words of letters, joined, and its ordinary candidates.
     """
     labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.secret").where(F.length("secret") <= TRAIN_LENGTH).distinct()
     kinds = {}
@@ -234,11 +258,14 @@ def learn(scanned: DataFrame, plain: DataFrame) -> Formats:
     if not kinds:
         return Formats({}, None)
     # Only drawn texts are taken apart, and of each only five words leave its task.
-    some = plain.where(_drawn(F.col("text"), plain.count())).select(F.xxhash64("text").alias("h"), F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), 0).alias("w")).where("size(w) >= 5")
+    drawn = plain.where(_drawn(F.col("text"), plain.count()))
+    some = drawn.select(F.xxhash64("text").alias("h"), F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), 0).alias("w")).where("size(w) >= 5")
     five = F.array_join(F.slice("w", (F.pmod("h", F.size("w") - 4) + 1).cast("int"), 5), "-")
     rows = some.select(five.alias("s")).where(F.length("s") <= TRAIN_LENGTH).distinct().limit(4 * TRAIN_LIMIT).collect()
-    ordinary = sorted(r.s for r in rows)
-    return Formats(kinds, infer(ordinary[:: max(1, math.ceil(len(ordinary) / TRAIN_LIMIT))]) if ordinary else None)
+    runs = _ordinary(drawn).orderBy(F.xxhash64("s"), "s").limit(4 * TRAIN_LIMIT).collect()
+    thin = lambda x: x[:: max(1, math.ceil(len(x) / TRAIN_LIMIT))]
+    ordinary = thin(sorted(r.s for r in rows)) + thin(sorted(r.s for r in runs))
+    return Formats(kinds, infer(ordinary) if ordinary else None)
 
 
 def _drawn(value: Column, n: int) -> Column:
@@ -246,32 +273,29 @@ def _drawn(value: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(1 << 30)) < int(min(1.0, TRAIN_LIMIT / max(n, 1)) * (1 << 30)) + 1
 
 
-def _apply(scanned: DataFrame, formats: Formats) -> DataFrame:
-    """scanned with spans: every base span and every accepted candidate that no base span overlaps."""
-    shared = scanned.sparkSession.sparkContext.broadcast(formats)
+def _apply(docs: DataFrame, formats: Formats) -> DataFrame:
+    """The columns of docs without text, and spans: every base span and every accepted candidate that no base span overlaps."""
+    shared = docs.sparkSession.sparkContext.broadcast(formats)
+    order = (*KINDS, LEARNED)
+
+    def spans(t: str, known: Formats) -> list[dict]:
+        own = base_spans(t)
+        found = [{"start": a, "stop": b, "kind": k, "score": None} for a, b, k, _ in own]
+        for a, b, x in candidates(t) if known.kinds else ():
+            if (score := known.accept(x)) is not None and not any(a < e and f < b for f, e, _, _ in own):
+                found.append({"start": a, "stop": b, "kind": LEARNED, "score": score})
+        return sorted(found, key=lambda x: (x["start"], order.index(x["kind"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            base = batch.column(batch.schema.get_field_index("base")).to_pylist()
-            more = batch.column(batch.schema.get_field_index("more")).to_pylist()
-            out = []
-            for own, extra in zip(base, more):
-                taken = [(b["start"], b["stop"]) for b in own]
-                spans = [{"start": b["start"], "stop": b["stop"], "kind": b["kind"], "score": None} for b in own]
-                for c in extra if known.kinds else ():
-                    if any(c["start"] < e and s < c["stop"] for s, e in taken):
-                        continue
-                    if (score := known.accept(c["secret"])) is not None:
-                        spans.append({"start": c["start"], "stop": c["stop"], "kind": LEARNED, "score": score})
-                order = (*KINDS, LEARNED)
-                out.append(sorted(spans, key=lambda x: (x["start"], order.index(x["kind"]))))
-            kept = [n for n in batch.schema.names if n not in ("base", "more")]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
+        for batch in text_chunks(batches):
+            at = batch.schema.get_field_index("text")
+            out = [spans(t or "", shared.value) for t in batch.column(at).to_pylist()]
+            kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in kept] + [pa.array(out, kind)], [*kept, "spans"])
 
-    schema = scanned.drop("base", "more").schema.add("spans", _ddl("array<struct<start:bigint,stop:bigint,kind:string,score:double>>"))
-    return scanned.mapInArrow(run, schema)
+    schema = docs.drop("text").schema.add("spans", _ddl("array<struct<start:bigint,stop:bigint,kind:string,score:double>>"))
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -280,8 +304,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     A null or empty text has none; repeated rows come out as often as they went in; further columns are ignored; with fewer than 20 labelled
     strings of a kind its format isn't learned, and only the patterns count. An empty table gives an empty result.
     """
-    scanned = cut(_scan(docs.select("doc_id", "text")))
-    return _apply(scanned, learn(scanned, docs.select("text")))
+    plain = docs.select("text")
+    return _apply(docs.select("doc_id", "text"), learn(cut(_scan(plain)), plain))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:

@@ -67,3 +67,22 @@ def test_redact_removes_every_base_span(spark):
         if before is not None:
             assert r.n_chars == len(r.text) and not re.search("[0-9a-f]{32}", r.text)
             assert brute(before) or r.text == before
+
+
+def test_short_and_dotted_and_letter_credentials_are_candidates(spark):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 12))) for _ in range(600)]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(60))
+    short = lambda: "".join(rng.choice("GHJKMNPQRSTVWXYZ0123456789") for _ in range(10))
+    caps = lambda: "".join(rng.choice("GHJKMNPQRSTVWXYZ") for _ in range(12))
+    dotted = lambda: ".".join("".join(rng.choice("GHJKMNPQRSTVWXYZ0123456789") for _ in range(5)) for _ in range(3))
+    rows = [(i, f"{prose()} api_key: {make()} {prose()}.") for i, make in enumerate([short, caps, dotted] * 80)]
+    lost = [short(), caps(), dotted()]
+    rows += [(1000 + i, f"{prose()}. left {x} here") for i, x in enumerate(lost)]
+    rows += [(2000 + i, prose() + " internationally.") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in s.secret_digests(docs).where("n_learned > 0").collect()}
+    at = {k: dict(rows)[k].index(x) for k, x in zip((1000, 1001, 1002), lost)}
+    assert out == {k: f"learned:{at[k]}:{at[k] + len(x)}" for k, x in zip(at, lost)}
+    left = {r.doc_id: r.text for r in s.redact(docs).where("doc_id >= 1000").collect()}
+    assert not any(x in left[k] for k, x in zip(at, lost)) and all(left[2000 + i] == dict(rows)[2000 + i] for i in range(200))
