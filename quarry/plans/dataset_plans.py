@@ -41,13 +41,13 @@ def decoy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1-C17 over pages made into wiki markup: a template of nested links, and the page's text as its history."""
+    """C1-C17 over pages made into wiki markup: a template of nested links, and the page's whole text as its history."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     words = X.raw_tokens(X.strip_html(F.col("html")))
     w = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit("x"))
     wiki = F.concat(
         F.lit("{{Some Template\n| CurrentAlias = "), w(0), F.lit("\n| Creators = [[A|"), w(1), F.lit("]]; {{m|x|"), w(2), F.lit("}}\n| Reality = 6160\n| Powers = * [["), w(3), F.lit("]]<ref>no</ref>\n* '''"), w(4),
-        F.lit("'''\n}}\n[[Category:Filed]]\n== History ==\n"), F.array_join(F.slice(words, 1, 12), " "), F.lit(" [[File:x.png|thumb|a [[b]] c]]\n"),
+        F.lit("'''\n}}\n[[Category:Filed]]\n== History ==\n"), F.array_join(words, " "), F.lit(" [[File:x.png|thumb|a [[b]] c]]\n"),
     )
     return curate(p.select(F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"), wiki.alias("wikitext")))
 

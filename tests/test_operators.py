@@ -153,3 +153,12 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
 
 def test_word_lists_hold_no_doubles():
     assert len(set(c.QUESTION_WORDS)) == len(c.QUESTION_WORDS)
+
+
+def test_curated_pages_keep_the_whole_text(spark, tmp_path):
+    from quarry.plans.dataset_plans import curated_pages
+
+    said = " ".join(f"word{i}" for i in range(500))
+    spark.createDataFrame([(1, f"<html><body><p>{said}</p></body></html>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    (row,) = curated_pages(spark, str(tmp_path)).collect()
+    assert row.text.rstrip().endswith(said)
