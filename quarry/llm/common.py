@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all runs in one process (tests), a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -47,6 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to any more: the shuffle files and checkpoints of stages before a cut."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def _give_back() -> None:
+    """Return the memory that a task has freed to the system: a Python worker outlives its task, and idles beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def columns(df: DataFrame) -> dict:
     """A small result's columns as numpy arrays, by Arrow."""
     got = df.toArrow()
@@ -55,17 +72,22 @@ def columns(df: DataFrame) -> dict:
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that their texts hold about `limit` bytes at most."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        group = (np.cumsum(sizes) - sizes) // limit
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            yield batch.slice(a, b - a)
+        yield from _pieces(batch, column, limit)
+    _give_back()
+
+
+def _pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    group = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
 
 
 def blobs(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -76,5 +98,3 @@ def blobs(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def held_out(doc_id, remainder: int):
     """True where crc32 of doc_id as text leaves `remainder` modulo 5 (null id: the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == remainder
-
-

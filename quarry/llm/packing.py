@@ -1,13 +1,14 @@
 """Packing in space-filling-curve order: neighbours on a Hilbert curve share sequences.
 
-A document's vector counts its token ids in hashed dimensions; a fixed random projection takes it to a few dimensions, a grid and the Hilbert curve to one key. Documents are
-range-sorted by the key and laid end to end; every CONTEXT tokens a sequence ends, so no sequence but the last is short, and the last is cut
+A document's vector counts its token ids; a hashed projection of signs (each id has a fixed point of -1 and 1 in a few dimensions) takes it, divided by its size, to the mean of
+its ids' points, and a grid and the Hilbert curve take that to one key. Documents are range-sorted by the key and laid end to end; every CONTEXT tokens a sequence ends, so no sequence but the last is short, and the last is cut
 at powers of two. Tokens are stored once and travel once, as 16-bit ids: bounds of the range sort and the tokens before each of its parts are
 taken from the keys and sizes alone.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,10 +27,10 @@ CONTEXT, END_ID, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 DIMENSIONS, GRID_BITS = 3, 11
 #: Places on the curve and scrambled order within a place, in one number that a double holds exactly.
 SCRAMBLE_BITS = 20
-#: Bytes of tokens that a sorted partition holds, about.
-PART_BYTES = 32_000_000
-#: Units (see `units`) whose ids a worker keeps; beyond that it begins anew.
-_KEEP_UNITS = 800_000
+#: Bytes of tokens that a sorted partition holds, about, and partitions at most; of larger tables a partition holds more, and its sort spills.
+PART_BYTES, MAX_PARTS = 32_000_000, 8192
+#: Units (see `units`) whose ids a worker keeps; beyond that it forgets those that it met once.
+_KEEP_UNITS = 400_000
 #: Byte kinds: 0 letter of ASCII or of two-byte Latin, 1 ASCII sign other than the apostrophe, 2 anything else.
 _KIND = np.full(256, 2, dtype=np.uint8)
 _KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = 0
@@ -62,18 +63,40 @@ class UnitIds:
     """Token ids of units, each encoded once by a worker."""
 
     def __init__(self, path: str):
+        # One thread: the cores belong to the tasks, and each thread would hold memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
         self.clear()
 
-    def clear(self) -> None:
+    def clear(self, room: int = 0) -> None:
+        """Forget all units; there is room for _KEEP_UNITS, or for `room` of one very long text."""
         none = np.zeros(0, np.uint64)
-        self.table = words.Table(none, none.astype(np.int32), room=_KEEP_UNITS)
-        self.size, self.start, self.count = 0, np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.room = max(_KEEP_UNITS, room)
+        self.table = words.Table(none, none.astype(np.int32), room=self.room)
+        self.hashes, self.hits = np.zeros(self.room, np.uint64), np.zeros(self.room, np.int32)
+        self.size, self.start, self.count = 0, np.zeros(self.room, np.int32), np.zeros(self.room, np.int32)
         self.arena, self.used = np.zeros(1 << 14, np.uint16), 0
 
+    def _thin(self) -> None:
+        """Forget all units but those met most often, a third of _KEEP_UNITS at most."""
+        n, hashes, hits, start, count, arena = self.size, self.hashes, self.hits, self.start, self.count, self.arena
+        room = _KEEP_UNITS // 3
+        least = max(2, int(np.partition(hits[:n], n - room)[n - room]) + 1) if n > room else 2
+        kept = np.flatnonzero(hits[:n] >= least)
+        self.clear()
+        at = np.arange(len(kept))
+        self.table.put(hashes[kept], at.astype(np.int32))
+        sizes = count[kept].astype(np.int64)
+        ahead = np.cumsum(sizes) - sizes
+        self.arena = np.zeros(max(1 << 14, int(sizes.sum())), np.uint16)
+        self.used, self.size = int(sizes.sum()), len(kept)
+        self.arena[: self.used] = arena[np.repeat(start[kept].astype(np.int64) - ahead, sizes) + np.arange(self.used)]
+        # Halved, so that what was frequent once doesn't stay for ever.
+        self.hashes[at], self.hits[at], self.start[at], self.count[at] = hashes[kept], hits[kept] // 2, ahead, sizes
+
     def _add(self, hashes: np.ndarray, found: list[bytes]) -> np.ndarray:
         ids: list = [None] * len(found)
         whole = []
@@ -88,13 +111,11 @@ class UnitIds:
             for k, e in zip(part, self.tokenizer.encode_batch([found[k].decode("utf-8", "replace") for k in part], add_special_tokens=False)):
                 ids[k] = e.ids
         flat, sizes = np.array([x for t in ids for x in t], dtype=np.uint16), np.array([len(t) for t in ids], dtype=np.int64)
-        while self.size + len(ids) > len(self.start):
-            self.start, self.count = np.concatenate([self.start, self.start]), np.concatenate([self.count, self.count])
         while self.used + len(flat) > len(self.arena):
             self.arena = np.concatenate([self.arena, self.arena])
         at = np.arange(self.size, self.size + len(ids))
         self.arena[self.used : self.used + len(flat)] = flat
-        self.count[at], self.start[at] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.count[at], self.start[at], self.hashes[at] = sizes, self.used + np.cumsum(sizes) - sizes, hashes
         self.table.put(hashes, at.astype(np.int32))
         self.used += len(flat)
         self.size += len(ids)
@@ -109,10 +130,16 @@ class UnitIds:
         new = np.flatnonzero(row < 0)
         if len(new):
             u, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
-            if self.size and self.size + len(u) > _KEEP_UNITS:
-                self.clear()
-                return self.encode(texts)
+            if self.size + len(u) > self.room:
+                if len(u) > _KEEP_UNITS // 2 and len(texts) > 1:
+                    (a, n), (b, m) = self.encode(texts[: len(texts) // 2]), self.encode(texts[len(texts) // 2 :])
+                    return np.concatenate([a, b]), np.concatenate([n, m])
+                self._thin() if len(u) <= _KEEP_UNITS // 2 else self.clear(len(np.unique(h)))
+                row = self.table.get(h, -1).astype(np.int64)
+                new = np.flatnonzero(row < 0)
+                u, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             row[new] = self._add(u, [w.buf[start[i] : end[i]].tobytes() for i in new[first]])[inverse]
+        self.hits[: self.size] += np.bincount(row, minlength=self.size).astype(np.int32)
         count, doc = self.count[row].astype(np.int64), w.doc[word]
         total = np.bincount(doc, weights=count, minlength=len(texts)).astype(np.int64) + 1
         out = np.empty(int(total.sum()), dtype=np.uint16)
@@ -149,7 +176,7 @@ def curve_keys(ids: np.ndarray, total: np.ndarray, projection: np.ndarray) -> np
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, place, n, ids): where the text is on the curve, the number of its tokens, and the tokens (16 bits each, little-endian), the end included.
+    """(doc_id, place, n, mark, ids): where the text is on the curve, the number of its tokens, their CRC-32, and the tokens (16 bits each, little-endian), the end included.
 
     place is the curve key followed by a scramble of doc_id and tokens, so that texts of equal keys, which may be a third of all, can be told apart.
     """
@@ -162,13 +189,15 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids, total = own.encode(blobs(batch))
             key = curve_keys(ids, total, projection)
             offsets = np.concatenate([[0], np.cumsum(total) * 2]).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(total), data], ["doc_id", "key", "n", "ids"])
+            ids = ids.astype("<u2")
+            mark = pa.array([zlib.crc32(ids[a // 2 : b // 2]) for a, b in zip(offsets, offsets[1:])], pa.int64())
+            data = pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(total), mark, data], ["doc_id", "key", "n", "mark", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary")
+    rows = small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, n long, mark long, ids binary")
     place = F.col("key") * (1 << SCRAMBLE_BITS) + F.pmod(F.xxhash64("doc_id", "n"), F.lit(1 << SCRAMBLE_BITS))
-    return rows.select("doc_id", place.alias("place"), "n", "ids")
+    return rows.select("doc_id", place.alias("place"), "n", "mark", "ids")
 
 
 def _stored(tokens: DataFrame) -> DataFrame:
@@ -193,14 +222,14 @@ def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None, diges
 
     digest: in place of ids comes ids_crc32, the CRC-32 of the piece's ids as 32-bit integers.
 
-    Null and empty texts are an end alone. Documents of equal keys go by a scramble of their ids; repeated rows are packed as often as they occur. A text
+    Null and empty texts are an end alone. Documents of equal keys go by a scramble of their ids, then by id and CRC-32; repeated rows are packed as often as they occur. A text
     however long is cut where sequences end. Further columns are ignored; an empty table gives an empty result.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     tokens = _stored(tokenised(docs, path))
     total, rows = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # The curve is cut at quantiles of place into parts; what lies before each part is known before any token moves.
-    parts = int(max(1, min(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total / PART_BYTES))))
+    parts = int(max(1, min(rows, MAX_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total / PART_BYTES))))
     cut_at = tokens.agg(F.percentile_approx("place", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     bounds = np.unique(np.array(cut_at or [], dtype=np.int64))
     parted = tokens.withColumn("part", _part(F.col("place"), bounds))
@@ -240,7 +269,7 @@ def pack(docs: DataFrame, context: int = CONTEXT, path: str | None = None, diges
                     names,
                 )
 
-    spread = parted.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "doc_id", "ids")
+    spread = parted.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "doc_id", "mark")
     held = "ids_crc32 long" if digest else "ids binary"
     return spread.select("doc_id", "n", "ids", "part").mapInArrow(run, f"doc_id {kind}, start long, length long, {held}, doc_tokens long, sequence_id long, offset long")
 
