@@ -2,7 +2,7 @@
 
 Each document has a few ratios. A sketch of a ratio is a histogram over logarithmic buckets (a quantile comes out within
 RELATIVE_ERROR); two sketches merge by adding bucket counts, so groupBy().count() with partial sums builds them, in any order and with
-the same result, and a language's sketch is the sum of its sources' sketches. From a group's median and lower quartile comes
+the same result, and a language's sketch is the sum of its sources' sketches. The documents' sizes have sketches of their own. From a group's quantiles comes
 the threshold (see `limits`); the filter joins it to the group's documents.
 """
 
@@ -27,12 +27,15 @@ RELATIVE_ERROR = 0.02
 _GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
 #: Ratios below this are one bucket.
 _LEAST = 1e-4
-#: Groups of fewer documents use their language's thresholds, languages of fewer those of all documents.
-MIN_GROUP = 200
-#: A threshold lies this many times the distance of median and lower quartile above the median, and not below the floor.
+#: Documents that a language's quantiles weigh in those of its sources, and those of all documents in a language's.
+PRIOR = 50
+#: A threshold lies this many spreads and units above the median.
 SPREAD = 6.0
-#: Ratio: floor of its threshold. The floors keep what any language's ordinary prose shows.
-FLOORS = {"symbol_ratio": 0.1, "upper_ratio": 0.25, "dup_line_ratio": 0.4, "repeat_ratio": 0.3, "word_chars_mean": 12.0}
+#: Ratio: (size, step, root): its unit, the least difference that a document shows, is step / size, or step / sqrt(size) of a mean.
+UNITS = {
+    "symbol_ratio": ("size_words", 1.0, False), "upper_ratio": ("size_chars", 1.0, False), "dup_line_ratio": ("size_lines", 1.0, False),
+    "repeat_ratio": ("size_words", float(WINDOW), False), "word_chars_mean": ("size_words", 2.0, True),
+}
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -122,13 +125,18 @@ def _ratios() -> dict[str, Column]:
     }
 
 
+def _sizes() -> dict[str, Column]:
+    least = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
+    return {"size_words": least("_n_words"), "size_chars": least("_word_chars"), "size_lines": least("_n_lines")}
+
+
 def base_failed() -> Column:
     return (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_n_words"))
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n): the quantile sketch of each ratio for each language and source (nulls as '')."""
-    each = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("x")) for k, v in _ratios().items()])
+    """(lang, source, ratio, bucket, n): the quantile sketch of each ratio and size for each language and source (nulls as '')."""
+    each = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("x")) for k, v in (_ratios() | _sizes()).items()])
     bucket = F.when(F.col("r.x") < _LEAST, F.lit(None).cast("int")).otherwise(F.ceil(F.log(F.col("r.x")) / math.log(_GAMMA)).cast("int"))
     rows = stats.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.explode(each).alias("r"))
     return rows.groupBy("lang", "source", F.col("r.ratio").alias("ratio"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
@@ -146,28 +154,34 @@ def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """(lang, source, max_<ratio>...): thresholds of each group, from the finest level that has MIN_GROUP documents.
+    """(lang, source, max_<ratio>...): thresholds of each group.
 
-    A threshold is median + SPREAD * (median - lower quartile), at least the ratio's floor: the lower half of a group tells what its
-    ordinary documents vary by, and stays right while up to half of the group is junk.
+    A threshold is median + SPREAD * (median - lower quartile + unit): the lower half of a group tells what its ordinary documents vary by, and stays right while up
+    to half of the group is junk; the unit (see UNITS), at the lower quartile of the group's sizes, is what a single symbol, line or window makes in a short document of it.
+    Quantiles of small groups are drawn towards their language's, and those towards all documents', as if PRIOR documents of it were in the group.
     """
-    high = lambda p: F.col(f"{p}q50") + SPREAD * (F.col(f"{p}q50") - F.col(f"{p}q25"))
 
     def level(by: list[str], p: str) -> DataFrame:
         q = _quantiles(sketch, by)
-        return q.select(*by, "ratio", *[F.col(c).alias(p + c) for c in ("total", "q25", "q50")])
+        return q.select(*by, "ratio", F.col("total").cast("double").alias(f"{p}_n"), F.col("q50").alias(f"{p}_mid"), (F.col("q50") - F.col("q25")).alias(f"{p}_low"), F.col("q25").alias(f"{p}_q25"))
+
+    joined = level(["lang", "source"], "a").join(level(["lang"], "b"), ["lang", "ratio"]).join(level([], "c"), "ratio")
 
-    fine, mid, top = level(["lang", "source"], "a_"), level(["lang"], "b_"), level([], "c_")
-    joined = fine.join(mid, ["lang", "ratio"]).join(top, "ratio")
-    cut_at = F.when(F.col("a_total") >= MIN_GROUP, high("a_")).when(F.col("b_total") >= MIN_GROUP, high("b_")).otherwise(high("c_"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("ratio"))
-    worked = joined.select("lang", "source", "ratio", F.greatest(cut_at, floor).alias("most"))
-    return worked.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("most"))).alias(f"max_{k}") for k in FLOORS])
+    def drawn(k: str) -> Column:
+        b = (F.col("b_n") * F.col(f"b_{k}") + PRIOR * F.col(f"c_{k}")) / (F.col("b_n") + PRIOR)
+        return ((F.col("a_n") * F.col(f"a_{k}") + PRIOR * b) / (F.col("a_n") + PRIOR)).alias(k)
+
+    worked = joined.select("lang", "source", "ratio", *[drawn(k) for k in ("mid", "low", "q25")])
+    of = lambda ratio, k: F.max(F.when(F.col("ratio") == ratio, F.col(k)))
+    wide = worked.groupBy("lang", "source").agg(*[of(r, k).alias(f"{r}_{k}") for r in UNITS for k in ("mid", "low")], *[of(r, "q25").alias(r) for r in _sizes()])
+    unit = lambda size, step, root: F.lit(step) / (F.sqrt(size) if root else F.col(size))
+    most = [(F.col(f"{r}_mid") + SPREAD * (F.col(f"{r}_low") + unit(*u))).alias(f"max_{r}") for r, u in UNITS.items()]
+    return wide.select("lang", "source", *most)
 
 
 def judged(stats: DataFrame, thresholds: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """stats with base_failed and kept, by a join on language and source (nulls as '')."""
-    t = thresholds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"max_{k}").alias(f"_max_{k}") for k in FLOORS])
+    t = thresholds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"max_{k}").alias(f"_max_{k}") for k in UNITS])
     on = (F.coalesce(lang, F.lit("")) == F.col("_lang")) & (F.coalesce(source, F.lit("")) == F.col("_source"))
     joined = stats.join(t, on, "left")
     fine = F.lit(True)
@@ -189,7 +203,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns. Texts are measured twice and never shuffled."""
+    """The documents that the rules keep, with all their columns, whatever their names. Texts are measured twice and never shuffled.
+
+    Null and empty texts go (the base rules fail them); null ids stay, null languages and sources make groups of their own; repeated rows stay or go together. An empty
+    table gives an empty result.
+    """
     stats = cut(measured(docs.select("lang", "source", "text"), "text"))
     thresholds = cut(limits(sketches(stats)))
     # Columns go by their place, so that none can clash with the counts.

@@ -116,17 +116,20 @@ def _quality_sql() -> str:
         "symbol_ratio": "n_symbols / greatest(n_words, 1)", "upper_ratio": "n_upper / greatest(word_chars, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
         "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "word_chars_mean": "word_chars / greatest(n_words, 1)",
     }
-    gamma, least = repr(quality_rules._GAMMA), quality_rules._LEAST
-    long = " UNION ALL ".join(f"SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, '{k}' AS ratio, {k} AS x FROM r" for k in ratios)
+    sizes = {"size_words": "greatest(n_words, 1)", "size_chars": "greatest(word_chars, 1)", "size_lines": "greatest(n_lines, 1)"}
+    gamma, least, prior = repr(quality_rules._GAMMA), quality_rules._LEAST, quality_rules.PRIOR
+    long = " UNION ALL ".join(f"SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, '{k}' AS ratio, ({v})::DOUBLE AS x FROM r" for k, v in ({k: k for k in ratios} | sizes).items())
 
     def level(by: str, name: str) -> str:
         keys = f"{by}, ratio" if by else "ratio"
         return f"""{name}m AS (SELECT {keys}, bucket, sum(n) AS n FROM sk GROUP BY ALL),
  {name}q AS (SELECT {keys}, coalesce(2 * pow({gamma}, bucket) / ({gamma} + 1), 0) AS x, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM {name}m),
- {name} AS (SELECT {keys}, max(total) AS total, min(x) FILTER (WHERE upto >= 0.5 * total) + {quality_rules.SPREAD} * (min(x) FILTER (WHERE upto >= 0.5 * total) - min(x) FILTER (WHERE upto >= 0.25 * total)) AS high FROM {name}q GROUP BY {keys})"""
+ {name} AS (SELECT {keys}, max(total)::DOUBLE AS n, min(x) FILTER (WHERE upto >= 0.5 * total) AS mid, min(x) FILTER (WHERE upto >= 0.5 * total) - min(x) FILTER (WHERE upto >= 0.25 * total) AS low, min(x) FILTER (WHERE upto >= 0.25 * total) AS q25 FROM {name}q GROUP BY {keys})"""
 
-    floors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.FLOORS.items())
-    least_docs = quality_rules.MIN_GROUP
+    drawn = ", ".join(f"(a.n * a.{k} + {prior} * ((b.n * b.{k} + {prior} * z.{k}) / (b.n + {prior}))) / (a.n + {prior}) AS {k}" for k in ("mid", "low", "q25"))
+    of = lambda r, k: f"max({k}) FILTER (WHERE ratio = '{r}')"
+    unit = {r: f"{step} / " + (f"sqrt({of(size, 'q25')})" if root else of(size, "q25")) for r, (size, step, root) in quality_rules.UNITS.items()}
+    most = ", ".join(f"{of(r, 'mid')} + {quality_rules.SPREAD} * ({of(r, 'low')} + {u}) AS max_{r}" for r, u in unit.items())
     return f"""WITH c AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, lang, source, {w} AS w, {lines} AS ls, coalesce(text, '') AS t FROM documents),
  win AS (SELECT id, i, array_to_string(w[i + 1 : i + 8], ' ') AS k FROM (SELECT id, w, unnest(range(len(w) - 7)) AS i FROM c WHERE len(w) >= 8)),
  rep AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY id, k) AS m FROM win) WHERE m > 1) GROUP BY id),
@@ -135,9 +138,8 @@ def _quality_sql() -> str:
  r AS MATERIALIZED (SELECT *, {", ".join(f"{v} AS {k}" for k, v in ratios.items())} FROM s),
  sk AS (SELECT lang, source, ratio, CASE WHEN x >= {least} THEN ceil(ln(x) / ln({gamma}))::INTEGER END AS bucket, count(*) AS n FROM ({long}) GROUP BY ALL),
  {level("lang, source", "a")}, {level("lang", "b")}, {level("", "z")},
- lim AS (SELECT a.lang, a.source, a.ratio, greatest(CASE WHEN a.total >= {least_docs} THEN a.high WHEN b.total >= {least_docs} THEN b.high ELSE z.high END, CASE a.ratio {floors} END) AS most
-   FROM a JOIN b ON a.lang = b.lang AND a.ratio = b.ratio JOIN z ON a.ratio = z.ratio),
- tops AS (SELECT lang AS lg, source AS sc, {", ".join(f"max(most) FILTER (WHERE ratio = '{k}') AS max_{k}" for k in ratios)} FROM lim GROUP BY ALL),
+ lim AS (SELECT a.lang, a.source, a.ratio, {drawn} FROM a JOIN b ON a.lang = b.lang AND a.ratio = b.ratio JOIN z ON a.ratio = z.ratio),
+ tops AS (SELECT lang AS lg, source AS sc, {most} FROM lim GROUP BY ALL),
  v AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM r JOIN tops ON coalesce(lang, '') = lg AND coalesce(source, '') = sc)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"{k} <= max_{k}" for k in ratios)} AS kept, {", ".join(ratios)} FROM v"""
 
