@@ -12,13 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words
-from .common import blobs, columns, cut, small_batches, text_chunks
+from .common import blobs, columns, cut, forget, small_batches, text_chunks
 from .components import components
 
 #: Differing bits up to which the code below finds every link.
@@ -204,10 +207,10 @@ BLOCKS, BLOCK_BITS, SHINGLE, SIMILARITY = 4, 40, 5, 0.8
 SAMPLE, COMMON_IN, COMMON = 16, 3, 1 << 17
 #: Rounds that compare a bucket's members with one of them, before all its pairs are compared that are still apart.
 STARS = 1
-#: Shared shingles, or ids of texts to compare, that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Bytes of shingle sets up to which they are broadcast to the pairs.
-BROADCAST_SETS = 32_000_000
+#: Rows of two numbers that are broadcast, and shared shingles that travel to all tasks (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS, SHARED_ROWS = 500_000, 2_000_000
+#: Pairs of one text that one group of a comparison holds, about.
+PAIRS_OF_ONE = 500
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -216,6 +219,16 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _identity(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's words in order."""
+    ends = np.cumsum(w.counts)
+    out = np.empty((len(ends), 2), dtype=np.uint64)
+    for k, (n, to) in enumerate(zip(w.counts.tolist(), ends.tolist())):
+        whole = xxhash.xxh3_128_intdigest(w.buf[w.starts[to - n] : w.ends[to - 1]] if n else b"")
+        out[k] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+    return out[:, 0].copy().view(np.int64), out[:, 1].copy().view(np.int64)
+
+
 def _common(docs: DataFrame, width: int) -> np.ndarray:
     """The hashes, sorted, of the shingles that a sample of the texts shows to be common."""
 
@@ -233,27 +246,27 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(columns(counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h"))["h"].astype(np.int64).view(np.uint64))
 
 
-def _prefixes(h: np.ndarray, doc: np.ndarray, texts: int, common: np.ndarray, similarity: float) -> tuple[np.ndarray, pa.ListArray]:
-    """Each text's number of different shingles and the first of them, common ones last: two texts that are `similarity` alike share one of these."""
-    late = np.zeros(len(h), dtype=bool)
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-    order = np.lexsort((h, late, doc))
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of h is in the sorted array."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), dtype=bool)
+
+
+def _prefixes(h: np.ndarray, doc: np.ndarray, texts: int, common: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n of each text; text, place, shingle of each kept one): the different shingles' number and the first of them, common ones last: two texts that are `similarity` alike share one of these."""
+    order = np.lexsort((h, _among(h, common), doc))
     h, doc = h[order], doc[order]
     once = np.ones(len(h), dtype=bool)
     once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[once], doc[once]
     n = np.bincount(doc, minlength=texts)
     most = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-    first = np.cumsum(n) - n
-    kept = h[np.arange(len(h)) - first[doc] < most[doc]]
-    ends = np.concatenate([[0], np.cumsum(np.minimum(most, n))]).astype(np.int32)
-    return n, pa.ListArray.from_arrays(pa.array(ends), pa.array(kept.view(np.int64)))
+    at = np.arange(len(h)) - (np.cumsum(n) - n)[doc]
+    kept = at < most[doc]
+    return n, doc[kept], at[kept], h[kept]
 
 
-def _wide(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, t1, t2, f0..f3, n, p): two hashes of the text's words in order, four 40-bit SimHashes of its set of words, one bit string cut in four, and its prefix."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
+def _wide(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, t2, f0..f3): two hashes of the text's words in order, and four 40-bit SimHashes of its set of words, one bit string cut in four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << BLOCK_BITS) - 1)
@@ -261,30 +274,21 @@ def _wide(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             n = batch.num_rows
             w = words.split(blobs(batch))
             h = w.hashes()
-            place = (np.arange(len(h)) - w.first[w.doc]).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                marks = []
-                for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                    x = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(h + place * np.uint64(factor)))])
-                    ends = np.cumsum(w.counts)
-                    marks.append(words.mix(x[ends] - x[ends - w.counts]))
-                key = h ^ words.mix(w.doc.astype(np.uint64) + np.uint64(1))
-                _, one = np.unique(key, return_index=True)
-                one.sort()
-                f = [majority_bits(words.mix(h[one] + np.uint64(k)) if k else h[one], w.doc[one], n) for k in range(3)]
+            key = h ^ words.mix(w.doc.astype(np.uint64) + np.uint64(1))
+            _, one = np.unique(key, return_index=True)
+            one.sort()
+            f = [majority_bits(words.mix(h[one] + np.uint64(k)) if k else h[one], w.doc[one], n) for k in range(3)]
             rest = np.uint64(BLOCK_BITS)
             parts = [x & mask for x in f] + [(f[0] >> rest) | ((f[1] >> rest) & np.uint64(0xFFFF)) << np.uint64(24)]
-            start, length, doc = w.shingles(width)
-            size, prefix = _prefixes(words.xxh64(w.buf, start, length), doc, n, common.value, similarity)
-            cols = [*[pa.array(x.view(np.int64)) for x in (*marks, *parts)], pa.array(size.astype(np.int32)), prefix]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "t1", "t2", "f0", "f1", "f2", "f3", "n", "p"])
+            cols = [*[pa.array(x) for x in _identity(w)], *[pa.array(x.view(np.int64)) for x in parts]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "t", "t2", "f0", "f1", "f2", "f3"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long, n int, p array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t long, t2 long, f0 long, f1 long, f2 long, f3 long")
 
 
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, s): the sorted different hashes of the text's word shingles, 8 bytes each."""
+def _shingle_sets(asked: DataFrame, width: int) -> DataFrame:
+    """(t, s) of asked (t, text), where t is the text's hash: the sorted different hashes of its word shingles, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -292,29 +296,38 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             start, length, doc = w.shingles(width)
             h = words.xxh64(w.buf, start, length)
             edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            sets = [np.unique(h[a:b]).tobytes() for a, b in zip(edge, edge[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "s"])
+            own = np.flatnonzero(_identity(w)[0] == batch.column(0).to_numpy(zero_copy_only=False))
+            sets = [np.unique(h[edge[k] : edge[k + 1]]).tobytes() for k in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(sets, pa.binary())], ["t", "s"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, s binary")
+    return asked.select("t", "text").mapInArrow(run, "t long, s binary")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) whose shingle sets have at least this Jaccard similarity; two texts without words are alike."""
+    """Those of pairs (u, v) whose shingle sets have at least this Jaccard similarity; two texts without words are alike.
+
+    The set of u comes once to each group of its pairs; a text of many pairs has many groups, so that none is long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            on = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(on), batch.column(1).filter(on)], ["u", "v"])
-
-    kind = pairs.schema["u"].dataType.simpleString()
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+            us, vs = [], []
+            for u, v, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                x = np.frombuffer(s.as_buffer(), np.uint64)
+                if v is None:
+                    hub, own = u, x
+                elif u == hub:
+                    common = len(np.intersect1d(own, x, assume_unique=True))
+                    if common >= similarity * (len(own) + len(x) - common):
+                        us.append(u), vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    groups = cut(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_OF_ONE).cast("int").alias("k")))
+    of = lambda name: sets.select(F.col("t").alias(name), "s")
+    each = pairs.join(groups, "u").select("u", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("k"), "v").join(of("v"), "v").select("u", "k", "v", "s")
+    hubs = groups.select("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k")).join(of("u"), "u").select("u", "k", F.lit(None).cast("long").alias("v"), "s")
+    return hubs.union(each).repartition("u", "k").sortWithinPartitions("u", "k", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
 
 
 def _possible(x: str, y: str, similarity: float) -> Column:
@@ -324,86 +337,162 @@ def _possible(x: str, y: str, similarity: float) -> Column:
     return shared * (1 + similarity) >= similarity * n - 1e-6
 
 
-def _of_prefixes(texts: DataFrame, linked: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """components() of the links that `linked`, components of texts, and all pairs of texts that are alike make.
+def _shared_prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h, t, n, at): the shingles of prefixes that occur in those of two or more different texts, once for each text t; n is the text's number of shingles, at the place among them.
+
+    A first pass finds which shingles these are, by an aggregate with partial minima and maxima; a second leaves the rest of the prefixes where the texts are.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
+
+    def prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        w = words.split(blobs(batch))
+        start, length, doc = w.shingles(width)
+        n, doc, at, h = _prefixes(words.xxh64(w.buf, start, length), doc, batch.num_rows, common.value, similarity)
+        return h, _identity(w)[0][doc], n[doc], at
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            h, t, _, _ = prefixes(batch)
+            order = np.lexsort((t, h))
+            h, t = h[order], t[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = h[1:] != h[:-1]
+            last = np.append(new[1:], True) if len(h) else new
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(t[new]), pa.array(t[last])], ["h", "lo", "hi"])
+
+    texts = small_batches(docs).select("text")
+    shared = cut(texts.mapInArrow(ends, "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h"))
+    forget(docs.sparkSession)
+    few = shared.count() <= SHARED_ROWS
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(columns(shared)["h"].astype(np.int64).view(np.uint64)) if few else None)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches):
+            cols = prefixes(batch)
+            if known.value is not None:
+                on = _among(cols[0], known.value)
+                cols = [x[on] for x in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["h", "t", "n", "at"])
+
+    rows = texts.mapInArrow(found, "h long, t long, n long, at long")
+    rows = cut((rows if few else rows.join(shared, "h")).groupBy("h", "t").agg(F.min("n").alias("n"), F.min("at").alias("at")))
+    forget(docs.sparkSession)
+    return rows
+
+
+def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """components() of the links that `linked`, components of texts, and all pairs of texts that are alike make; left: _shared_prefixes of the texts.
 
     Texts that are alike share a shingle of their prefixes. Only shingles that texts of different components share are looked at: each of these texts is first
     compared with one of them, and what is still in different components then pair by pair.
     """
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
-        named = of.select(F.col("node").alias("id"), "component")
-        return rows.join(named, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-
-    def apart(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
+        named = of.select(F.col("node").alias("t"), "component")
+        return rows.join(named, "t", "left").withColumn("part", F.coalesce("component", "t")).drop("component")
 
     def met(rows: DataFrame) -> DataFrame:
-        return cut(rows.join(_few(apart(rows)), "h").select("h", "id", "n", "at"))
+        apart = rows.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
+        return cut(rows.join(_few(apart), "h").select("h", "t", "n", "at"))
 
     def linked_by(pairs: DataFrame) -> DataFrame:
         found = alike(cut(pairs.distinct()))
         return cut(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
 
-    left = met(placed(texts.select("id", "n", "p"), linked).select("id", "part", "n", F.posexplode("p").alias("at", "h")))
+    left = met(placed(left, linked))
     for k in range(STARS + 1):
         if left.isEmpty():
             return linked
         now = placed(left, linked)
         if k < STARS:
-            star = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h", F.lit(k)), "id", "n", "at", "part")).alias("one"))
-            both = now.alias("x").join(star.select("h", "one.*").alias("y"), "h")
+            star = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("t", "h", F.lit(k)), "t", "n", "at", "part")).alias("one"))
+            both = star.select("h", "one.*").alias("x").join(now.alias("y"), "h")
         else:
-            both = now.alias("x").join(now.alias("y"), "h").where("x.id < y.id")
+            both = now.alias("x").join(now.alias("y"), "h").where("x.t < y.t")
         both = both.where((F.col("x.part") != F.col("y.part")) & _possible("x", "y", similarity))
-        linked = linked_by(both.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")))
+        linked = linked_by(both.select(F.col("x.t").alias("u"), F.col("y.t").alias("v")))
+        forget(left.sparkSession)
         if k < STARS:
             left = met(placed(left, linked))
     return linked
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group_id): for each document with a link or a copy its group's smallest doc_id; the rest has no row.
+def _groups(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, t, group_id, group_t), (doc_id, t)): the documents that aren't their group's first, t being a text's hash, and its first (smallest doc_id, then t); and all documents.
 
-    Texts with the same words in the same order are copies. Two others link if the sets of their word shingles are at least `similarity` alike; a group is what
-    links and copies connect, and none is missed. Most links are found among the texts that come within 2 bits in some block of a 160-bit fingerprint:
-    in a group of equal blocks each text is compared to the first, in an anchor's group along a spanning forest. Those that this leaves out share
-    a shingle of their prefixes (see _of_prefixes), where texts of one group needn't be compared again. Rows with a null doc_id take no part.
+    Rows with a null doc_id take no part, nor do different texts of equal t, which would be taken for one (the second hash tells).
     """
     known = docs.where("doc_id is not null")
-    wide = cut(_wide(known, width, similarity))
-    texts = cut(wide.groupBy("t1", "t2").agg(F.min("doc_id").alias("id"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(BLOCKS)], F.min("n").alias("n"), F.any_value("p").alias("p")))
-    wide = wide.select("doc_id", "t1", "t2")
-    blocks = texts.select("id", F.posexplode(F.array(*[f"f{k}" for k in range(BLOCKS)])).alias("block", "fp")).withColumn("block", F.col("block").cast("long"))
-    distinct = cut(blocks.groupBy("block", "fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    same = blocks.join(distinct.where("n > 1"), ["block", "fp"]).where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
-    near = links(distinct.select("block", "fp"), BLOCK_BITS)
+    wide = cut(_wide(known))
+    whole = cut(wide.groupBy("t").agg(F.min("doc_id").alias("id"), F.min("t2").alias("lo"), F.max("t2").alias("hi"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(BLOCKS)]))
+    texts, mixed = whole.where("lo = hi"), F.broadcast(cut(whole.where("lo <> hi").select("t")))
+    blocks = texts.select("t", F.posexplode(F.array(*[f"f{k}" for k in range(BLOCKS)])).alias("block", "fp")).withColumn("block", F.col("block").cast("long"))
+    distinct = cut(blocks.groupBy("block", "fp").agg(F.min("t").alias("least"), F.count("*").alias("n")))
+    same = blocks.join(distinct.where("n > 1"), ["block", "fp"]).where("t <> least").select(F.col("least").alias("u"), F.col("t").alias("v"))
+    near = cut(links(distinct.select("block", "fp"), BLOCK_BITS))
+    forget(docs.sparkSession)
     of = lambda end, name: distinct.select("block", F.col("fp").alias(end), F.col("least").alias(name))
-    across = near.join(of("fp_a", "x"), ["block", "fp_a"]).join(of("fp_b", "y"), ["block", "fp_b"])
-    across = across.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    across = near.join(of("fp_a", "u"), ["block", "fp_a"]).join(of("fp_b", "v"), ["block", "fp_b"]).where("u <> v").select("u", "v")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        nodes = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
+        asked = cut(nodes.join(texts.select("t", "id"), "t").select(F.col("id").alias("doc_id"), "t"))
+        n = asked.count()
         # The text of asked documents isn't shuffled while their ids fit a broadcast.
-        sets = cut(_shingle_sets(known.select("doc_id", "text").join(_few(asked), "doc_id"), width).groupBy("doc_id").agg(F.any_value("s").alias("s")))
-        small = (sets.agg(F.sum(F.length("s"))).first()[0] or 0) <= BROADCAST_SETS
-        return _similar(pairs, F.broadcast(sets) if small else sets, similarity)
+        sets = cut(_shingle_sets(known.select("doc_id", "text").join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, "doc_id"), width))
+        if sets.count() > n:
+            sets = cut(sets.groupBy("t").agg(F.any_value("s").alias("s")))
+        return cut(_similar(pairs, sets, similarity))
+
+    linked = cut(components(alike(cut(same.union(across).distinct()))))
+    forget(docs.sparkSession)
+    left = _shared_prefixes(known, width, similarity).join(mixed, "t", "left_anti")
+    linked = _of_prefixes(left, linked, alike, similarity)
+    named = texts.join(linked, texts["t"] == linked["node"]).select("t", "component", "id")
+    first = named.groupBy("component").agg(F.min(F.struct("id", "t")).alias("first"))
+    of_text = named.join(first, "component").select("t", F.col("first.id").alias("group_id"), F.col("first.t").alias("group_t"))
+    alone = texts.join(of_text.select("t"), "t", "left_anti").select("t", F.col("id").alias("group_id"), F.col("t").alias("group_t"))
+    own = wide.select("doc_id", "t")
+    return own.join(of_text.union(alone), "t").where("doc_id <> group_id or t <> group_t").select("doc_id", "t", "group_id", "group_t").distinct(), own
+
 
-    of_text = _of_prefixes(texts, cut(components(alike(cut(same.union(across).distinct())))), alike, similarity)
-    named = texts.join(of_text, texts["id"] == of_text["node"], "left").select("t1", "t2", "id", F.coalesce("component", "id").alias("group_id"))
-    return wide.join(named, ["t1", "t2"]).where("doc_id <> id or group_id <> id").select("doc_id", "group_id").distinct()
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, group_id): for each document that isn't its group's first, the first's doc_id, which is the group's smallest; the rest has no row.
+
+    Texts with the same words in the same order are copies. Two others link if the sets of their word shingles are at least `similarity` alike; a group is what
+    links and copies connect, and none is missed. Most links are found among the texts that come within 2 bits in some block of a 160-bit fingerprint:
+    in a group of equal blocks each text is compared to the first, in an anchor's group along a spanning forest. Those that this leaves out share
+    a shingle of their prefixes (see _of_prefixes), where texts of one group needn't be compared again. Null and empty texts are copies of each other. Rows with
+    a null doc_id take no part. A doc_id whose rows have different texts is a document for each of them. An empty table gives an empty result; further columns are ignored.
+    """
+    return _groups(docs, width, similarity)[0].select("doc_id", "group_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each group of near duplicates, that of the smallest doc_id, and all columns; repeated rows of a doc_id become one.
+    """docs with one document of each group of near duplicates, that of the smallest doc_id, and all columns, whatever their names.
 
-    Rows with a null doc_id stay.
+    Of rows that share doc_id and words one stays; rows that share the doc_id alone are different documents. Null and empty texts are copies of each other. Rows with a
+    null doc_id stay. An empty table gives an empty result.
     """
-    gone = near_duplicates(docs, width, similarity).where("doc_id <> group_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    left = named.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    gone, own = _groups(docs, width, similarity)
+    gone = cut(gone.select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")))
+    twice = cut(own.groupBy("doc_id", "t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")))
+    # Columns go by their place, so that none can clash.
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_of, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, text):
+            t = _identity(words.split(blobs(batch, text)))[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t)], [*batch.schema.names, "_t"])
+
+    keyed = small_batches(rows).mapInArrow(run, StructType([*rows.schema.fields, StructField("_t", LongType())]))
+    is_one = (F.col(id_of) == F.col("_gone_id")) & (F.col("_t") == F.col("_gone_t"))
+    left = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, is_one, "left_anti")
     if not twice.isEmpty():
-        own = left.where("row.doc_id is not null").groupBy(F.col("row.doc_id").alias("id")).agg(F.min("row").alias("row")).select("row")
-        left = left.where("row.doc_id is null").unionByName(own)
-    return left.select("row.*")
+        few = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+        again = left.join(few, is_one, "left_semi")
+        one = again.select(id_of, "_t", F.struct(*rows.columns).alias("row")).groupBy(id_of, "_t").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        left = left.join(few, is_one, "left_anti").select(*rows.columns).unionByName(one.select("row.*"))
+    return left.select(*rows.columns).toDF(*names)
