@@ -28,7 +28,7 @@ _GAMMA = (1 + RELATIVE_ERROR) / (1 - RELATIVE_ERROR)
 #: Ratios below this are one bucket.
 _LEAST = 1e-4
 #: Documents that a language's quantiles weigh in those of its sources, and those of all documents in a language's.
-PRIOR = 50
+PRIOR = 20
 #: A threshold lies this many spreads and units above the median.
 SPREAD = 6.0
 #: Ratio: (size, step, root): its unit, the least difference that a document shows, is step / size, or step / sqrt(size) of a mean.
