@@ -1,7 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of SPAN consecutive sentences (of at least MIN_WORDS words) is hashed; the hashes of all documents meet in one join; sentences that any
-non-first occurrence of a repeated run covers are removed. A sentence ends after a word that ends with . ! or ?, at a line end, and after MAX_SENTENCE words.
+From every sentence on a run of SPAN consecutive sentences, or as many more as make MIN_WORDS words, is hashed; the hashes of all documents meet in one join; sentences that any
+non-first occurrence of a repeated run covers are removed. A sentence ends after a word that ends with . ! or ?, and at a line end. Stretches of more than LONG words
+without such an end are cut after words that a hash of the word and the one before picks, so that the same passage is cut alike wherever it begins.
 """
 
 from __future__ import annotations
@@ -16,74 +17,89 @@ from pyspark.sql import functions as F
 from . import words
 from .common import blobs, cut, small_batches, text_chunks
 
-SPAN, MIN_WORDS, MAX_SENTENCE = 3, 10, 16
+SPAN, MIN_WORDS, LONG = 3, 10, 16
+#: In long stretches one word in so many ends a sentence.
+PICK = 4
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 
 
-def sentences(w: words.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, text) of each sentence of the words, which are split with places."""
+def sentences(w: words.Words, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, text) of each sentence of the words, which are split with places; hashes: of the words, if they are known."""
     n = len(w.doc)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     begins = np.ones(n, dtype=bool)
     begins[1:] = (w.doc[1:] != w.doc[:-1]) | (w.line[1:] != w.line[:-1]) | _STOPS[w.buf[w.ends[:-1] - 1]]
     first = np.flatnonzero(begins)
-    place = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    first = np.flatnonzero(place % MAX_SENTENCE == 0)
+    size = np.diff(np.append(first, n))
+    if (size > LONG).any():
+        h = w.hashes() if hashes is None else hashes
+        with np.errstate(over="ignore"):
+            picked = words.mix(h[1:] + h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(PICK) == 0
+        # The first word of a stretch isn't picked: the one before it is another text's or line's.
+        begins[2:] |= picked[:-1] & ~begins[1:-1] & np.repeat(size > LONG, size)[2:]
+        first = np.flatnonzero(begins)
     return first, w.doc[first]
 
 
-def span_hashes(w: words.Words, first: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first sentence, hash) of every run of SPAN sentences of one text that has MIN_WORDS words at least."""
-    if len(first) < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def span_hashes(w: words.Words, first: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, sentences, hash) of the run that begins at each sentence, where the text is long enough."""
+    n = len(first)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     size = np.diff(np.append(first, len(w.doc)))
     place = (np.arange(len(w.doc)) - np.repeat(first, size)).astype(np.uint64)
+    total, count, run, at = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.uint64), np.arange(n)
     with np.errstate(over="ignore"):
-        one = np.add.reduceat(words.mix(w.hashes() + place * np.uint64(0x9E3779B97F4A7C15)), first)
-        m = len(first) - SPAN + 1
-        run = np.zeros(m, dtype=np.uint64)
-        for k in range(SPAN):
-            run = words.mix(run * np.uint64(0xC2B2AE3D27D4EB4F) + one[k : k + m])
-    long = np.add.accumulate(np.concatenate([[0], size]))
-    at = np.flatnonzero((doc[:m] == doc[SPAN - 1 :]) & (long[SPAN:] - long[:m] >= MIN_WORDS))
-    return at, run[at]
+        one = np.add.reduceat(words.mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), first)
+        # A sentence has a word at least, so MIN_WORDS rounds are enough.
+        for k in range(max(SPAN, MIN_WORDS)):
+            at = at[at + k < n]
+            at = at[(doc[at + k] == doc[at]) & ((k < SPAN) | (total[at] < MIN_WORDS))]
+            run[at] = words.mix(run[at] * np.uint64(0xC2B2AE3D27D4EB4F) + one[at + k])
+            total[at] += size[at + k]
+            count[at] += 1
+    whole = np.flatnonzero((count >= SPAN) & (total >= MIN_WORDS))
+    return whole, count[whole], run[whole]
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, h): the hash of the run that begins at sentence i."""
+    """(doc_id, t, i, m, h): the hash of the run of m sentences that begins at sentence i of the text with hash t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             w = words.split(blobs(batch), places=True)
-            first, doc = sentences(w)
-            at, h = span_hashes(w, first, doc)
-            base = np.searchsorted(doc, np.arange(batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array((at - base[doc[at]]).astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "i", "h"])
+            hashes = w.hashes()
+            first, doc = sentences(w, hashes)
+            at, m, h = span_hashes(w, first, doc, hashes)
+            base, own = np.searchsorted(doc, np.arange(batch.num_rows)), pa.array(doc[at])
+            cols = [batch.column(0).take(own), batch.column(1).take(own), pa.array((at - base[doc[at]]).astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(h.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "i", "m", "h"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, i int, h long")
+    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t long, i int, m int, h long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, i): runs that occur before, by doc_id and place, elsewhere or in the same document."""
+    """(doc_id, t, i, m): runs that occur before, by doc_id (null before all), text and place, elsewhere or in the same document; t is the text's hash."""
     spans = cut(_spans(docs))
-    first = spans.groupBy("h").agg(F.min(F.struct("doc_id", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    first = spans.groupBy("h").agg(F.min(F.struct("doc_id", "t", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     joined = spans.join(first, "h")
-    return joined.where(~(F.struct("doc_id", "i").eqNullSafe(F.col("first")))).select("doc_id", "i")
+    return joined.where(~(F.struct("doc_id", "t", "i").eqNullSafe(F.col("first")))).select("doc_id", "t", "i", "m")
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the text less the removed sentences, and n_sentences, n_removed, removed_chars; a row for each row of docs.
 
-    The first occurrence of a run is that in the smallest doc_id, the earliest there; rows that share doc_id and text are one document and are cut
-    alike. A null text stays null, texts of few words have no runs and stay as they are; what lies between two kept sentences stays byte for byte. Further
-    columns are ignored; an empty table gives an empty result. A run that a third of all documents shares is a third of the join's left side, which
-    the join splits; each document's own list of runs is bounded by its length.
+    A document is a doc_id and a text: rows that share both are cut alike, rows that share the doc_id alone (null is one too) each by its own text. The first occurrence
+    of a run is that in the smallest doc_id (null before all), of its texts that of the smallest hash, the earliest there. A null text stays null, texts of few words have no runs and
+    stay as they are; what lies between two kept sentences stays byte for byte. Further columns are ignored; an empty table gives an empty result. A run that a third of all documents
+    shares is a third of the join's left side, which the join splits; each document's own list of runs is bounded by its length.
     """
-    marks = repeated_spans(docs).groupBy(F.col("doc_id").alias("mark_id")).agg(F.collect_set("i").alias("runs"))
-    joined = docs.select("doc_id", "text").join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left").select("doc_id", "text", "runs")
+    marks = repeated_spans(docs).groupBy(F.col("doc_id").alias("mark_id"), F.col("t").alias("mark_t")).agg(F.collect_set(F.col("i").cast("long") * 16 + F.col("m")).alias("runs"))
+    same = F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("t") == F.col("mark_t"))
+    joined = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(marks, same, "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -96,10 +112,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             for k, runs in enumerate(batch.column(2).to_pylist()):
                 if not runs or out[k] is None:
                     continue
-                gone = np.zeros(total[k] + SPAN, dtype=bool)
-                for s in range(SPAN):
-                    gone[np.array(runs) + s] = True
-                gone = gone[: total[k]]
+                begin, size = np.divmod(np.array(runs, dtype=np.int64), 16)
+                change = np.zeros(total[k] + 1, dtype=np.int64)
+                np.add.at(change, begin, 1)
+                np.add.at(change, begin + size, -1)
+                gone = np.cumsum(change[:-1]) > 0
                 edge = [*w.at[first[base[k] : base[k + 1]]].tolist(), len(texts[k])]
                 kept = texts[k][: edge[0]] + b"".join(texts[k][edge[i] : edge[i + 1]] for i in np.flatnonzero(~gone))
                 text = kept.decode()

@@ -1,18 +1,36 @@
 import random
 import re
 
+import numpy as np
+import xxhash
 from quarry.llm import substring as s
+from quarry.llm import words as lib
+
+
+def lower(x):
+    return "".join(c.lower() if c < "\x80" else c for c in x)
+
+
+def picked(a, b):
+    """Whether word b, after a, ends a sentence in a long stretch."""
+    h = lambda x: xxhash.xxh64_intdigest(lower(x).encode(), 42)
+    return int(lib.mix(np.array([(h(b) + h(a) * 0xC2B2AE3D27D4EB4F) % 2**64], dtype=np.uint64))[0]) % s.PICK == 0
 
 
 def pieces(text):
     """(start, end of text, words) of each sentence, by characters."""
-    out, words, line = [], [], False
+    stretches, last = [], None
     for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
-        new = not out or "\n" in text[words[-1][1] : m.start()] or words[-1][2][-1] in ".!?" or len(out[-1][1]) == s.MAX_SENTENCE
-        if new:
-            out.append((m.start(), []))
-        out[-1][1].append("".join(c.lower() if c < "\x80" else c for c in m[0]))
-        words.append((m.start(), m.end(), m[0]))
+        if last is None or "\n" in text[last.end() : m.start()] or last[0][-1] in ".!?":
+            stretches.append([])
+        stretches[-1].append((m.start(), m[0]))
+        last = m
+    out = []
+    for x in stretches:
+        for k, (at, word) in enumerate(x):
+            if k == 0 or len(x) > s.LONG and k >= 2 and picked(x[k - 2][1], x[k - 1][1]):
+                out.append((at, []))
+            out[-1][1].append(lower(word))
     return out
 
 
@@ -21,11 +39,12 @@ def brute(docs):
     for d, t in sorted(docs.items()):
         p = pieces(t)
         gone[d] = set()
-        for i in range(len(p) - s.SPAN + 1):
-            run = tuple(tuple(x[1]) for x in p[i : i + s.SPAN])
-            if sum(map(len, run)) >= s.MIN_WORDS:
+        for i in range(len(p)):
+            m = next((m for m in range(s.SPAN, len(p) - i + 1) if sum(len(x[1]) for x in p[i : i + m]) >= s.MIN_WORDS), None)
+            if m:
+                run = tuple(tuple(x[1]) for x in p[i : i + m])
                 if run in seen:
-                    gone[d] |= set(range(i, i + s.SPAN))
+                    gone[d] |= set(range(i, i + m))
                 seen.add(run)
     out = {}
     for d, t in docs.items():
@@ -53,8 +72,39 @@ def test_matches_brute_force(spark):
     for r in out:
         if r.doc_id == 200:
             assert r.text is None
-        elif r.doc_id != 5:
+        else:
             assert (r.text, r.n_sentences, r.n_removed) == want[r.doc_id], r.doc_id
             assert r.removed_chars == len(docs[r.doc_id]) - len(r.text)
     assert want[100][0].strip() == "" or len(pieces(docs[5])) < s.SPAN
     assert s.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" + ("." if k % 6 == 5 else "") for k in range(48))
+    rep, own, third, other = text(), text(), text(), text()
+    rows = [(1, rep), (7, rep), (7, own), (None, third), (None, other), (None, None), (3, third), (4, other + " " + rep)]
+    out = s.dedup_substrings(spark.createDataFrame(rows + [rows[1]], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(1, rep), (7, ""), (7, ""), (7, own), (0, third), (0, other), (0, ""), (3, ""), (4, "")])
+
+
+def test_passages_of_fifty_words_go_wherever_they_begin(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    kinds = {
+        "short": lambda n: " ".join(word() + rng.choice("!.?") if rng.random() < 0.6 else word() for _ in range(n)), "list": lambda n: "\n".join(word() for _ in range(n)),
+        "plain": lambda n: " ".join(word() for _ in range(n)), "prose": lambda n: " ".join(word() + ("." if rng.random() < 0.1 else "") for _ in range(n)),
+    }
+    docs, places = [], {}
+    for name, make in kinds.items():
+        for _ in range(25):
+            passage = make(60)
+            for _ in range(2):
+                before = make(rng.randrange(5, 90))
+                docs.append((len(docs), before + " " + passage + " " + make(rng.randrange(5, 60))))
+            places[len(docs) - 1] = (name, set(re.findall(r"w[0-9]+", passage)))
+    left = {r.doc_id: set(re.findall(r"w[0-9]+", r.text)) for r in s.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = {name: [1 - len(left[i] & w) / len(w) for i, (k, w) in places.items() if k == name] for name in kinds}
+    for name, shares in gone.items():
+        assert sum(x > 0.5 for x in shares) >= 0.9 * len(shares), (name, shares)
+    assert all(len(left[i]) for i, _ in docs)
