@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality as quality_rules
 from .chat import chat_digests
 from .common import table
-from .decontaminate import MASKS, MIN_SHARE, SHORT_MASK, overlaps
+from .decontaminate import MASKS, MIN_SHARE, SPAN, overlaps
 from .langid import identify
 from .lm import score
 from .packing import pack_digests
@@ -92,12 +92,15 @@ _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{
 
 
 def _seeds(source: str, key: str) -> str:
-    """(key, pos, h) of the windows of source (key, w), each mask's words joined."""
+    """(key, pos, h) of the windows of source (key, w), each mask's words joined; items shorter than the masks are whole windows."""
     parts = []
-    for mask, span in (*((m, len(MASKS[0])) for m in MASKS), (SHORT_MASK, len(SHORT_MASK))):
+    for mask in (*MASKS, *("1" * n for n in range(1, SPAN))):
+        span = len(mask)
         looked = " || ' ' || ".join(f"w[i + {k + 1}]" for k, c in enumerate(mask) if c == "1")
-        own = f"AND len(w) < {len(MASKS[0])}" if mask == SHORT_MASK and source == "items" else ""
-        parts.append(f"SELECT {key}, i AS pos, '{mask} ' || {looked} AS h FROM (SELECT {key}, w, unnest(range(len(w) - {span - 1})) AS i FROM {source} WHERE len(w) >= {span} {own})")
+        own = f"len(w) = {span}" if span < SPAN and source == "items" else f"len(w) >= {span}"
+        if span < SPAN and source == "docs":
+            own += f" AND EXISTS (SELECT 1 FROM items WHERE len(items.w) = {span})"
+        parts.append(f"SELECT {key}, i AS pos, '{mask} ' || {looked} AS h FROM (SELECT {key}, w, unnest(range(len(w) - {span - 1})) AS i FROM {source} WHERE {own})")
     return " UNION ALL ".join(parts)
 
 

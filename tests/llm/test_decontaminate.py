@@ -22,7 +22,7 @@ def data():
                 w = [x if rng.random() > 0.15 else "CHANGED" for x in w]
             t = t + "\n" + ", ".join(w).upper() + " " + prose(20)
         docs.append((i, t, 0))
-    docs += [(900, None, 0), (901, "", 0), (902, items[5][1], 0), (903, prose(20000) + " " + items[4][1], 0), docs[0]]
+    docs += [(900, None, 0), (901, "", 0), (902, items[5][1], 0), (904, prose(5) + " " + items[6][1] + " " + prose(5), 0), (903, prose(20000) + " " + items[4][1], 0), docs[0]]
     return docs, items
 
 
@@ -33,7 +33,9 @@ def brute(docs, items):
         w = words(t)
         for k, it in items:
             x = words(it)
-            if len(x) < 5:
+            if len(x) < d.SPAN:
+                if x and any(w[s : s + len(x)] == x for s in range(len(w))):
+                    found[i, k] = len(x)
                 continue
             best = max((sum(a == b for a, b in zip(w[max(s, 0) :], x[max(-s, 0) :])), -s) for s in range(-len(x) + 1, max(len(w), 1)))
             if best[0] >= d.MIN_SHARE * len(x):
@@ -48,7 +50,7 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     want = brute([x for x in docs if x[0] != 903], items) | {(903, 4): 60}
     out = {(r.doc_id, r.item_id): r.n_matched for r in d.overlaps(di, it).collect()}
     assert out == want
-    monkeypatch.setattr(d, "BROADCAST_SEEDS", -1)
+    monkeypatch.setattr(d, "BROADCAST_BYTES", -1)
     assert {(r.doc_id, r.item_id): r.n_matched for r in d.overlaps(di, it).collect()} == want
     left = d.decontaminate(di, it)
     assert left.columns == di.columns
@@ -56,3 +58,36 @@ def test_overlaps_match_brute_force(spark, monkeypatch):
     assert d.overlaps(di.limit(0), it).count() == 0 and d.overlaps(di, it.limit(0)).count() == 0
     plan = d.overlaps(di, it)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_each_row_is_judged_by_its_own_text(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item = prose(30)
+    rows = [(None, prose(50)), (None, item + " " + prose(5)), (None, None), (7, prose(40)), (7, prose(9) + " " + item), (7, item), (8, prose(40)), (8, prose(40)), (9, "")]
+    rows += [rows[6], rows[1]]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, bad_id string, n int")
+    it = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = d.decontaminate(df, it)
+    assert left.columns == df.columns
+    assert sorted(r.n for r in left.collect()) == [0, 2, 3, 6, 7, 8, 9]
+    found = {(r.doc_id, r.n_matched, r.doc_word) for r in d.overlaps(df, it).collect()}
+    assert found == {(None, 30, 0), (7, 30, 0)}
+    assert d.decontaminate(df, it.limit(0)).count() == len(rows)
+
+
+def test_recall_of_substituted_items(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(k, [word() for _ in range(n)]) for k, n in enumerate([16, 20, 30, 45] * 25)]
+    docs, kept = [], {}
+    for k, w in items:
+        for share in (0.2, 0.4):
+            x = [v if rng.random() > share else word() for v in w]
+            docs.append((len(docs), " ".join([word() for _ in range(10)] + x + [word() for _ in range(10)])))
+            if 2 * sum(a == b for a, b in zip(w, x)) >= len(w):
+                kept[docs[-1][0]] = (share, len(w))
+    it = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {r.doc_id for r in d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
+    of = lambda share, least: (lambda ids: sum(i in found for i in ids) / len(ids))([i for i, (s, n) in kept.items() if s == share and n >= least])
+    assert found <= set(kept) and of(0.2, 16) >= 0.98 and of(0.4, 20) >= 0.95 and of(0.4, 16) >= 0.9
