@@ -287,8 +287,24 @@ def _wide(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, t long, t2 long, f0 long, f1 long, f2 long, f3 long")
 
 
+#: Bytes of a shingle's hash in a set: of two sets of 1,000, one pair in a million shares one more than it should.
+SET_BYTES = 5
+
+
+def _shortened(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]).tobytes()
+
+
+def _whole(b: pa.Buffer | bytes) -> np.ndarray:
+    """The different numbers that `_shortened` made."""
+    x = np.frombuffer(b, np.uint8).reshape(-1, SET_BYTES)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :SET_BYTES] = x
+    return np.unique(out.view("<u8").reshape(-1))
+
+
 def _shingle_sets(asked: DataFrame, width: int) -> DataFrame:
-    """(t, s) of asked (t, text), where t is the text's hash: the sorted different hashes of its word shingles, 8 bytes each."""
+    """(t, s) of asked (t, text), where t is the text's hash: the different hashes of its word shingles, SET_BYTES each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -297,7 +313,7 @@ def _shingle_sets(asked: DataFrame, width: int) -> DataFrame:
             h = words.xxh64(w.buf, start, length)
             edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             own = np.flatnonzero(_identity(w)[0] == batch.column(0).to_numpy(zero_copy_only=False))
-            sets = [np.unique(h[edge[k] : edge[k + 1]]).tobytes() for k in own]
+            sets = [_shortened(np.unique(h[edge[k] : edge[k + 1]])) for k in own]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(sets, pa.binary())], ["t", "s"])
 
     return asked.select("t", "text").mapInArrow(run, "t long, s binary")
@@ -314,7 +330,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             us, vs = [], []
             for u, v, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                x = np.frombuffer(s.as_buffer(), np.uint64)
+                x = _whole(s.as_buffer())
                 if v is None:
                     hub, own = u, x
                 elif u == hub:
@@ -337,6 +353,19 @@ def _possible(x: str, y: str, similarity: float) -> Column:
     return shared * (1 + similarity) >= similarity * n - 1e-6
 
 
+def _enough(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) that share so much of their prefixes that they can be so alike; rows: (h, t, n), with all that the texts of a pair share.
+
+    A shingle that both texts have, but not both prefixes, lies beyond the prefix that ends first: there are fewer of them than similarity times the longer text's number.
+    """
+    texts = cut(rows.groupBy("t").agg(F.max("n").alias("n"), F.collect_set("h").alias("p")))
+    of = lambda name: texts.select(F.col("t").alias(name), F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    rest = F.greatest(F.ceil(similarity * F.col("n_u") - 1e-9), F.ceil(similarity * F.col("n_v") - 1e-9)) - 1
+    need = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v"))
+    return both.where(F.size(F.array_intersect("p_u", "p_v")) + rest >= need - 1e-6).select("u", "v")
+
+
 def _shared_prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(h, t, n, at): the shingles of prefixes that occur in those of two or more different texts, once for each text t; n is the text's number of shingles, at the place among them.
 
@@ -396,7 +425,7 @@ def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame]
         return cut(rows.join(_few(apart), "h").select("h", "t", "n", "at"))
 
     def linked_by(pairs: DataFrame) -> DataFrame:
-        found = alike(cut(pairs.distinct()))
+        found = alike(cut(_enough(pairs.distinct(), left, similarity)))
         return cut(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
 
     left = met(placed(left, linked))
@@ -405,7 +434,8 @@ def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame]
             return linked
         now = placed(left, linked)
         if k < STARS:
-            star = now.groupBy("h").agg(F.min(F.struct(F.xxhash64("t", "h", F.lit(k)), "t", "n", "at", "part")).alias("one"))
+            star = now.groupBy("h").agg(F.min(F.struct("t", "n", "at", "part")).alias("one"))
+            # The same text leads all that a group of alike texts shares: t is a hash.
             both = star.select("h", "one.*").alias("x").join(now.alias("y"), "h")
         else:
             both = now.alias("x").join(now.alias("y"), "h").where("x.t < y.t")
