@@ -48,8 +48,9 @@ TRAIN_LENGTH = 512
 ALPHA = 0.05
 #: States seen less often than this are merged without a test.
 MIN_SEEN = 12
-#: A candidate is reported if its score is at least the labelled strings' quantile, and this many bits a character over the background.
-KEEP_QUANTILE, MARGIN_BITS = 0.02, 0.5
+#: A candidate is reported if its score is at least the labelled strings' quantile, and this many bits a character over the background: twice as many
+#: where a format is learned from FEW strings, four times from a third of them, and so on.
+KEEP_QUANTILE, MARGIN_BITS, FEW = 0.02, 0.5, 20
 
 #: Character class: its members.
 _CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ"}
@@ -185,9 +186,9 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
 
 @dataclass
 class Formats:
-    """An automaton and the least accepted score of each kind, and the background's automaton."""
+    """Of each kind an automaton, the least accepted score, and the least margin over the background; and the background's automaton."""
 
-    kinds: dict[str, tuple[Automaton, float]]
+    kinds: dict[str, tuple[Automaton, float, float]]
     background: Automaton | None
     #: Scores of strings seen before: most candidates are words of the language.
     known: dict[str, float | None] = field(default_factory=dict)
@@ -203,12 +204,12 @@ class Formats:
 
     def _score(self, s: str) -> float | None:
         best = None
-        for kind, (automaton, least) in self.kinds.items():
+        for kind, (automaton, least, margin) in self.kinds.items():
             # Nothing shorter is labelled so: the format doesn't know it.
             if len(s) < LEAST[kind]:
                 continue
             score = automaton.bits(s)
-            if score >= least and (self.background is None or score - self.background.bits(s) >= MARGIN_BITS):
+            if score >= least and (self.background is None or score - self.background.bits(s) >= margin):
                 best = score if best is None else max(best, score)
         return best
 
@@ -251,10 +252,10 @@ def learn(scanned: DataFrame, plain: DataFrame) -> Formats:
     for kind, n in sorted(total.items()):
         rows = labelled.where((F.col("kind") == kind) & _drawn(F.col("secret"), n)).collect()
         strings = sorted(r.secret for r in rows)[:: max(1, math.ceil(len(rows) / TRAIN_LIMIT))]
-        if len(strings) >= 20:
+        if strings:
             automaton = infer(strings)
             scores = sorted(automaton.bits(s) for s in strings)
-            kinds[kind] = (automaton, scores[int(KEEP_QUANTILE * len(scores))])
+            kinds[kind] = (automaton, scores[int(KEEP_QUANTILE * len(scores))], MARGIN_BITS * (1 + FEW / len(strings)))
     if not kinds:
         return Formats({}, None)
     # Only drawn texts are taken apart, and of each only five words leave its task.
@@ -273,18 +274,22 @@ def _drawn(value: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(1 << 30)) < int(min(1.0, TRAIN_LIMIT / max(n, 1)) * (1 << 30)) + 1
 
 
+def all_spans(text: str, formats: Formats) -> list[tuple[int, int, str, float | None]]:
+    """(start, end, kind, score) of the text's base spans and of every accepted candidate that isn't inside one of them, by start and then kind."""
+    own = base_spans(text)
+    found = [(a, b, k, None) for a, b, k, _ in own]
+    for a, b, x in candidates(text) if formats.kinds else ():
+        if (score := formats.accept(x)) is not None and not any(f <= a and b <= e for f, e, _, _ in own):
+            found.append((a, b, LEARNED, score))
+    return sorted(found, key=lambda x: (x[0], (*KINDS, LEARNED).index(x[2])))
+
+
 def _apply(docs: DataFrame, formats: Formats) -> DataFrame:
-    """The columns of docs without text, and spans: every base span and every accepted candidate that no base span overlaps."""
+    """The columns of docs without text, and spans, see all_spans."""
     shared = docs.sparkSession.sparkContext.broadcast(formats)
-    order = (*KINDS, LEARNED)
 
     def spans(t: str, known: Formats) -> list[dict]:
-        own = base_spans(t)
-        found = [{"start": a, "stop": b, "kind": k, "score": None} for a, b, k, _ in own]
-        for a, b, x in candidates(t) if known.kinds else ():
-            if (score := known.accept(x)) is not None and not any(a < e and f < b for f, e, _, _ in own):
-                found.append({"start": a, "stop": b, "kind": LEARNED, "score": score})
-        return sorted(found, key=lambda x: (x["start"], order.index(x["kind"])))
+        return [{"start": a, "stop": b, "kind": k, "score": x} for a, b, k, x in all_spans(t, known)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("score", pa.float64())]))
@@ -301,8 +306,8 @@ def _apply(docs: DataFrame, formats: Formats) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): for each document the spans of secrets in its whole text, by start and kind; code points, end exclusive.
 
-    A null or empty text has none; repeated rows come out as often as they went in; further columns are ignored; with fewer than 20 labelled
-    strings of a kind its format isn't learned, and only the patterns count. An empty table gives an empty result.
+    A null or empty text has none; repeated rows come out as often as they went in; further columns are ignored; the fewer labelled strings a kind
+    has, the more a candidate must stand out. An empty table gives an empty result.
     """
     plain = docs.select("text")
     return _apply(docs.select("doc_id", "text"), learn(cut(_scan(plain)), plain))
@@ -323,18 +328,17 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret's span replaced by `mark` (overlapping spans by one), and n_chars set to the new length where docs has it.
 
-    A null text stays null. Formats are learned in a first scan; the second scan finds and cuts the spans.
+    The spans are those of find_secrets. A null text stays null, an empty one empty; repeated rows all stay; other columns stay as they are, whatever their names; an
+    empty table gives an empty result. Formats are learned in a first scan; the second scan finds and cuts the spans.
     """
     scanned = cut(_scan(docs.select("text")))
     shared = docs.sparkSession.sparkContext.broadcast(learn(scanned, docs.select("text")))
     names = docs.columns
 
     def clean(t: str, known: Formats) -> str:
-        spans = [(s, e) for s, e, _, _ in base_spans(t)]
-        if known.kinds:
-            spans += [(s, e) for s, e, x in candidates(t) if known.accept(x) is not None]
+        spans = [(s, e) for s, e, _, _ in all_spans(t, known)]
         out, at, last = [], 0, 0
-        for s, e in sorted(spans):
+        for s, e in spans:
             if s >= last:
                 out += [t[at:s], mark]
             last = at = max(last, e)

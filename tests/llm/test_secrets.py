@@ -86,3 +86,22 @@ def test_short_and_dotted_and_letter_credentials_are_candidates(spark):
     assert out == {k: f"learned:{at[k]}:{at[k] + len(x)}" for k, x in zip(at, lost)}
     left = {r.doc_id: r.text for r in s.redact(docs).where("doc_id >= 1000").collect()}
     assert not any(x in left[k] for k, x in zip(at, lost)) and all(left[2000 + i] == dict(rows)[2000 + i] for i in range(200))
+
+
+def test_redact_cuts_what_find_secrets_finds_with_few_labels_too(spark):
+    rng = random.Random(28)
+    prose = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(30))
+    ticket = lambda: "".join(rng.choice("GHJKMNPQRSTVWXYZ0123456789") for _ in range(24))
+    for labels, least, most in ((1, 0, 0), (12, 5, 10)):
+        rows = [(i, f"{prose()} api_key: {ticket()} {prose()}") for i in range(labels)] + [(100 + i, f"{prose()} {ticket()} xAKIA{ticket()} {prose()}") for i in range(10)] + [(200, None), (201, "")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        spans = {r.doc_id: [(s["start"], s["stop"]) for s in r.spans] for r in s.find_secrets(docs).collect()}
+        assert least <= sum(len(spans[100 + i]) >= 2 for i in range(10)) <= most
+        text = dict(rows)
+        for r in s.redact(docs).collect():
+            want, last = "", 0
+            for a, b in spans[r.doc_id]:
+                if a >= last:
+                    want += text[r.doc_id][last:a] + "[SECRET]"
+                last = max(last, b)
+            assert r.text == (None if text[r.doc_id] is None else want + text[r.doc_id][last:])
