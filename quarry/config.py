@@ -2,6 +2,8 @@
 
 # Token pattern, scoring weights, word lists and limits that results depend on.
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)+\.?|[a-z0-9]+(?:-[a-z0-9]+)+|[a-z0-9]+"
+# The same tokens without a step back, for engines with possessive quantifiers.
+TOKEN_POSSESSIVE = r"[a-z0-9]++(?:(?:\.[a-z0-9]++)++\.?|(?:-[a-z0-9]++)++)?+"
 K1, B, HEADLINE_BOOST = 1.5, 0.75, 3.0
 FULL_HEAD_BONUS, BREVITY_PENALTY, MAIN_CONTINUITY_BONUS, ENTITY_PAGE_BONUS, NOTABILITY_WEIGHT = 12.0, 2.4, 5.0, 6.0, 1.5
 ENTITY_DF_RATIO = 0.15

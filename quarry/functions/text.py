@@ -18,17 +18,19 @@ def _less_one(t: Column) -> Column:
 
 
 def raw_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(c.TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(c.TOKEN_POSSESSIVE), F.lit(0))
 
 
-def tokenize(text: Column) -> Column:
-    """Tokens in order; a plural is followed by its singular, a hyphenated compound by its parts; repeats stay."""
+def forms(t: Column) -> Column:
+    """What a raw token is found by: itself, its singular if it is a plural, its parts if it is a hyphenated compound."""
+    none = F.array().cast("array<string>")
+    single = F.when(_plural(t) & ~t.isin(*c.QUESTION_WORDS), F.array(_less_one(t))).otherwise(none)
+    parts = F.when(F.contains(t, F.lit("-")), F.split(t, "-")).otherwise(none)
+    return F.concat(F.array(t), single, parts)
 
-    def forms(t: Column) -> Column:
-        single = F.when(_plural(t) & ~t.isin(*c.QUESTION_WORDS), F.array(_less_one(t))).otherwise(F.array().cast("array<string>"))
-        parts = F.when(F.contains(t, F.lit("-")), F.split(t, "-")).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(t), single, parts)
 
+def tokenize(text: Column) -> Column:
+    """Tokens in order, each by its forms; repeats stay."""
     return F.flatten(F.transform(raw_tokens(text), forms))
 
 

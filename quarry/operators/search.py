@@ -1,24 +1,101 @@
-"""Inverted index and ranked search over a batch of questions."""
+"""Inverted index and ranked search over a batch of questions.
+
+An index is built once, stored as Parquet (postings by buckets of the term, so that a search reads the asked terms' buckets alone), and loaded by every search after.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import config as c
 from quarry.functions import text as X
+from quarry.sources import stored
+
+#: Layout of a stored index; another one isn't read.
+VERSION, BUCKETS = 2, 32
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings (bucket, term, doc_id, tf), docs (doc_id, len, n_terms, head_len, has_paren), heads (term, doc_id), terms (term, df, cf), one (n, avg_len)."""
+
+    postings: DataFrame
+    docs: DataFrame
+    heads: DataFrame
+    terms: DataFrame
+    one: DataFrame
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """A1: (term, doc_id, tf) of docs (doc_id, text)."""
-    return docs.select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """A1: (term, doc_id, tf) of docs (doc_id, text).
+
+    Texts are dealt out by doc_id, so that counting raw tokens and then their forms, which are worked out once for each different token of a text, needs no exchange more.
+    """
+    spread = docs.select("doc_id", "text").repartition("doc_id")
+    raw = spread.select("doc_id", F.explode(X.raw_tokens(F.col("text"))).alias("raw")).groupBy("doc_id", "raw").agg(F.count("*").alias("tf"))
+    return raw.select("doc_id", F.explode(X.forms(F.col("raw"))).alias("term"), "tf").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).select("term", "doc_id", "tf")
+
+
+def head_terms(docs: DataFrame) -> DataFrame:
+    """(term, doc_id) of headlines."""
+    return docs.select("doc_id", F.explode(F.array_distinct(X.tokenize(F.col("headline")))).alias("term"))
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
-    """(doc_id, len, head_len, has_paren): tokens of the text, different singular tokens of the headline, a parenthesis in it."""
+def _index(docs: DataFrame, posts: DataFrame) -> Index:
     head = F.col("headline")
     singles = F.array_distinct(F.transform(X.tokenize(head), X.singular))
-    return docs.select("doc_id", F.size(X.tokenize(F.col("text"))).cast("long").alias("len"), F.size(singles).cast("long").alias("head_len"), F.contains(head, F.lit("(")).alias("has_paren"))
+    sizes = posts.groupBy("doc_id").agg(F.sum("tf").alias("len"), F.count("*").alias("n_terms"))
+    own = docs.select("doc_id", F.size(singles).cast("long").alias("head_len"), F.contains(head, F.lit("(")).alias("has_paren"))
+    none = lambda k: F.coalesce(k, F.lit(0)).alias(k)
+    stats = own.join(sizes, "doc_id", "left").select("doc_id", none("len"), none("n_terms"), "head_len", "has_paren")
+    terms = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return Index(posts.withColumn("bucket", _bucket(F.col("term"))), stats, head_terms(docs), terms, stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")))
+
+
+def index_of(docs: DataFrame) -> Index:
+    """R1, not stored: of docs (doc_id, text, headline)."""
+    return _index(docs, postings(docs))
+
+
+def save_index(docs: DataFrame, folder: str) -> Index:
+    """Build the index of docs in the folder, in place of what is there, and load it. Readers see the old index or the new one, never a part."""
+    spark, new = docs.sparkSession, f"{folder}.new"
+    posts = postings(docs).withColumn("bucket", _bucket(F.col("term")))
+    posts.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{new}/postings")
+    index = _index(docs, spark.read.parquet(f"{new}/postings").select("term", "doc_id", "tf"))
+    for name in ("docs", "heads", "terms"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{new}/{name}")
+    stats = spark.read.parquet(f"{new}/docs").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(VERSION).alias("version"))
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{new}/one")
+    stored.move(spark, new, folder)
+    return load_index(spark, folder)
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    """K5: the index that save_index left in the folder."""
+    of = {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "docs", "heads", "terms", "one")}
+    if (found := of["one"].first().version) != VERSION:
+        raise ValueError(f"the index in {folder} has layout {found}, not {VERSION}; build it anew")
+    return Index(of["postings"], of["docs"], of["heads"], of["terms"], of["one"].drop("version"))
+
+
+def stored_index(docs: DataFrame, source: DataFrame) -> Index:
+    """The index of docs, built once in an application for each state of the files of `source`, which docs is made from."""
+    if stored.shared_folder(docs.sparkSession) is None:
+        return index_of(docs)
+    return stored.once(source, "index", lambda folder: save_index(docs, folder))
+
+
+def doc_stats(docs: DataFrame | Index) -> DataFrame:
+    """(doc_id, len, n_terms, head_len, has_paren): tokens of the text, different ones, different singular tokens of the headline, a parenthesis in it."""
+    return _as_index(docs).docs
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:
@@ -26,9 +103,8 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def head_terms(docs: DataFrame) -> DataFrame:
-    """(term, doc_id) of headlines."""
-    return docs.select("doc_id", F.explode(F.array_distinct(X.tokenize(F.col("headline")))).alias("term"))
+def _as_index(docs: DataFrame | Index) -> Index:
+    return docs if isinstance(docs, Index) else index_of(docs)
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -41,20 +117,19 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(X.tokenize(F.col("question")))).alias("term"))
 
 
-def bm25_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
-    """R2: (qid, doc_id, score) of every document that shares a term with a question.
+def bm25_scores(docs: DataFrame | Index, questions: DataFrame) -> DataFrame:
+    """R2: (qid, doc_id, score) of every document that shares a term with a question; docs: an index, or documents to build one of.
 
-    Only postings of asked terms go on: the question side of the join is small and the planner broadcasts it when its measured size allows. df of
-    those terms comes from the same postings, so the text is tokenised once for bodies and once for lengths.
+    Only postings of asked terms are read: the asked terms are the small side of the join, which names the bucket too, so that buckets without one are skipped.
     """
+    index = _as_index(docs)
     asked = query_terms(questions)
-    posts = postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
-    stats = doc_stats(docs)
-    one = corpus_stats(stats)
-    idf = document_frequency(posts).crossJoin(F.broadcast(one)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
+    terms = asked.select("term").distinct()
+    idf = index.terms.join(terms, "term").crossJoin(F.broadcast(index.one)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
+    posts = index.postings.join(idf.withColumn("bucket", _bucket(F.col("term"))), ["bucket", "term"])
     weight = F.col("idf") * F.col("tf") * (c.K1 + 1) / (F.col("tf") + c.K1 * (1 - c.B + c.B * F.col("len") / F.col("avg_len")))
-    heads = head_terms(docs).withColumn("in_head", F.lit(1))
-    scored = posts.join(idf, "term").join(stats.select("doc_id", "len"), "doc_id").join(heads, ["term", "doc_id"], "left")
+    heads = index.heads.join(terms, "term", "left_semi").withColumn("in_head", F.lit(1))
+    scored = posts.join(index.docs.select("doc_id", "len"), "doc_id").join(heads, ["term", "doc_id"], "left")
     part = scored.select("term", "doc_id", (weight + F.when(F.col("in_head") == 1, c.HEADLINE_BOOST * F.col("idf")).otherwise(0.0)).alias("part"))
     return part.join(asked, "term").groupBy("qid", "doc_id").agg(F.sum("part").alias("score"))
 
@@ -65,37 +140,38 @@ def top_k(scores: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return scores.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k)
 
 
-def entity_terms(docs: DataFrame, questions: DataFrame) -> DataFrame:
+def entity_terms(docs: DataFrame | Index, questions: DataFrame) -> DataFrame:
     """T4: (qid, term): the singular question terms of at most ENTITY_DF_RATIO of all documents; all of them where none is so rare."""
+    index = _as_index(docs)
     kept = F.array_distinct(F.transform(X.strip_question(X.tokenize(F.col("question"))), X.singular))
     terms = questions.select("qid", F.size(kept).alias("k"), F.explode(kept).alias("term"))
-    df = document_frequency(postings(docs).join(terms.select("term").distinct(), "term", "left_semi"))
-    n = docs.agg(F.count("*").alias("n"))
-    rare = terms.join(df, "term", "left").crossJoin(F.broadcast(n)).withColumn("rare", F.coalesce("df", F.lit(0)) <= c.ENTITY_DF_RATIO * F.col("n"))
-    some = F.max("rare").over(Window.partitionBy("qid"))
-    return rare.withColumn("some", some).where((F.col("k") == 1) | F.col("rare") | ~F.col("some")).select("qid", "term")
+    rare = terms.join(index.terms.select("term", "df"), "term", "left").crossJoin(F.broadcast(index.one)).withColumn("rare", F.coalesce("df", F.lit(0)) <= c.ENTITY_DF_RATIO * F.col("n"))
+    some = rare.groupBy("qid").agg(F.max("rare").alias("some"))
+    return rare.join(some, "qid").where((F.col("k") == 1) | F.col("rare") | ~F.col("some")).select("qid", "term")
 
 
-def headline_division(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def headline_division(docs: DataFrame | Index, terms: DataFrame) -> DataFrame:
     """(qid, doc_id, n_terms): documents whose headline holds, in the singular, all of a question's terms (qid, term)."""
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.transform(X.tokenize(F.col("headline")), X.singular))).alias("term"))
+    heads = _as_index(docs).heads.select("doc_id", X.singular(F.col("term")).alias("term")).distinct()
     need = terms.groupBy("qid").agg(F.count("*").alias("n_terms"))
     met = heads.join(terms, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("met"))
     return met.join(need, "qid").where("met = n_terms").select("qid", "doc_id", "n_terms")
 
 
-def boosted_scores(docs: DataFrame, questions: DataFrame) -> DataFrame:
+def boosted_scores(docs: DataFrame, questions: DataFrame, index: Index | None = None) -> DataFrame:
     """BM25 with the boosts for headlines that hold the whole name, main continuity and records about beings.
 
-    docs may have is_entity; it is false where missing.
+    docs may have is_entity; it is false where missing. index: of docs, if there is one.
     """
-    if "is_entity" not in docs.columns:
-        docs = docs.withColumn("is_entity", F.lit(False))
-    scores = bm25_scores(docs, questions)
-    named = headline_division(docs, entity_terms(docs, questions))
-    stats = doc_stats(docs).join(docs.select("doc_id", "is_entity"), "doc_id")
+    index = index or index_of(docs)
+    scores = bm25_scores(index, questions)
+    named = headline_division(index, entity_terms(index, questions))
+    stats = index.docs
+    is_entity = F.lit(False)
+    if "is_entity" in docs.columns:
+        stats, is_entity = stats.join(docs.select("doc_id", "is_entity"), "doc_id"), F.col("is_entity")
     real = questions.select("qid", F.exists(X.tokenize(F.col("question")), lambda t: t.rlike(r"^earth-\d+$")).alias("has_reality"))
-    full = c.FULL_HEAD_BONUS - c.BREVITY_PENALTY * F.greatest(F.lit(0), F.col("head_len") - F.col("n_terms")) + c.NOTABILITY_WEIGHT * F.log1p(F.col("len"))
-    rows = scores.join(stats, "doc_id").join(named, ["qid", "doc_id"], "left").join(real, "qid")
-    bonus = F.when(F.col("n_terms").isNotNull(), full).otherwise(0.0) + F.when(~F.col("has_reality") & ~F.col("has_paren"), c.MAIN_CONTINUITY_BONUS).otherwise(0.0)
-    return rows.select("qid", "doc_id", (F.col("score") + bonus + F.when(F.col("is_entity"), c.ENTITY_PAGE_BONUS).otherwise(0.0)).alias("score"))
+    full = c.FULL_HEAD_BONUS - c.BREVITY_PENALTY * F.greatest(F.lit(0), F.col("head_len") - F.col("n_terms_asked")) + c.NOTABILITY_WEIGHT * F.log1p(F.col("len"))
+    rows = scores.join(stats, "doc_id").join(named.withColumnRenamed("n_terms", "n_terms_asked"), ["qid", "doc_id"], "left").join(real, "qid")
+    bonus = F.when(F.col("n_terms_asked").isNotNull(), full).otherwise(0.0) + F.when(~F.col("has_reality") & ~F.col("has_paren"), c.MAIN_CONTINUITY_BONUS).otherwise(0.0)
+    return rows.select("qid", "doc_id", (F.col("score") + bonus + F.when(is_entity, c.ENTITY_PAGE_BONUS).otherwise(0.0)).alias("score"))

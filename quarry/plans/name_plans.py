@@ -72,7 +72,7 @@ def variants_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.documents(spark, sf_dir)
-    top = S.top_k(S.bm25_scores(docs, search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 24)
+    top = S.top_k(S.bm25_scores(search_plans.index(spark, sf_dir), search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 24)
     extra = docs.select("doc_id", "headline", F.concat_ws("|", "headline", "source").alias("identity"), (F.size(F.split("text", "\n")) - 1).alias("field_count"), F.col("size").cast("long").alias("size"))
     return top.join(extra, "doc_id")
 
@@ -92,7 +92,7 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of each question's three best documents."""
-    top = S.top_k(S.bm25_scores(R.documents(spark, sf_dir), search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 3)
+    top = S.top_k(S.bm25_scores(search_plans.index(spark, sf_dir), search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 3)
     docs = R.documents(spark, sf_dir)
     asked = top.join(docs, "doc_id").join(search_plans.questions(spark, sf_dir), "qid").select(F.concat_ws("-", "qid", "rnk").alias("qid"), "question", F.lit("").alias("headline"), F.lit("").alias("page"), F.col("text").alias("body"))
     return A.passages(asked).select("qid", F.md5("passage").alias("passage_md5"))

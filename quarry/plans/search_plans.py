@@ -13,45 +13,48 @@ from quarry.sources.records import documents
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, question): the first five different raw tokens of each benchmark text."""
+    """(qid, question): the different raw tokens of each benchmark text."""
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return b.select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.array_distinct(X.raw_tokens(F.col("text"))), 1, 5), " ").alias("question"))
+    return b.select(F.col("item_id").alias("qid"), F.array_join(F.array_distinct(X.raw_tokens(F.col("text"))), " ").alias("question"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The stored index of the documents table."""
+    return S.stored_index(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = documents(spark, sf_dir).select("doc_id", X.tokenize(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    return index(spark, sf_dir).docs.select("doc_id", F.col("len").alias("n_tokens"), F.col("n_terms").alias("n_distinct"))
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.postings(documents(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return index(spark, sf_dir).terms
 
 
 def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = S.corpus_stats(S.doc_stats(documents(spark, sf_dir)))
-    return one.select("n", F.round("avg_len", 6).alias("avg_len"))
+    return index(spark, sf_dir).one.select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = S.top_k(S.bm25_scores(documents(spark, sf_dir), questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 10)
+    top = S.top_k(S.bm25_scores(index(spark, sf_dir), questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 10)
     return top.select("qid", "rnk", "doc_id", "score")
 
 
 def bm25_boosted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = S.top_k(S.boosted_scores(documents(spark, sf_dir), questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 10)
+    top = S.top_k(S.boosted_scores(documents(spark, sf_dir), questions(spark, sf_dir), index(spark, sf_dir)).withColumn("score", F.round("score", 6)), 10)
     return top.select("qid", "rnk", "doc_id", "score")
 
 
 def entity_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.entity_terms(documents(spark, sf_dir), questions(spark, sf_dir))
+    return S.entity_terms(index(spark, sf_dir), questions(spark, sf_dir))
 
 
 def headline_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.headline_division(documents(spark, sf_dir), S.entity_terms(documents(spark, sf_dir), questions(spark, sf_dir)))
+    return S.headline_division(index(spark, sf_dir), S.entity_terms(index(spark, sf_dir), questions(spark, sf_dir)))
 
 
 _QUESTIONS = f"""
-questions AS (SELECT item_id AS qid, array_to_string(list_slice(d, 1, 5), ' ') AS question
+questions AS (SELECT item_id AS qid, array_to_string(d, ' ') AS question
   FROM (SELECT item_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda p: list_position(t, p[1]) = p[2]), lambda p: p[1]) AS d
         FROM (SELECT item_id, {Q.raw_tokens("text")} AS t FROM benchmark)))"""
 
