@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import config as c
@@ -28,8 +28,11 @@ def dedupe_paragraphs(docs: DataFrame, separator: str = "\n\n", least: int = c.M
     blocks = docs.select("doc_id", F.posexplode(F.split("text", separator)).alias("i", "block"))
     long = F.length(X.normal_space(F.col("block"))) >= least
     keyed = blocks.withColumn("_key", F.when(long, content_key(F.col("block"))))
-    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct("doc_id", "i")).alias("_first"))
-    marked = keyed.join(first, "_key", "left").withColumn("keep", F.col("_key").isNull() | (F.struct("doc_id", "i") == F.col("_first")))
+    long_blocks = keyed.where("_key is not null")
+    first = long_blocks.groupBy("_key").agg(F.min(F.struct("doc_id", "i")).alias("_first"))
+    judged = long_blocks.join(first, "_key").withColumn("keep", F.struct("doc_id", "i") == F.col("_first")).select("doc_id", "i", "block", "keep")
+    # Short blocks have no key and don't meet anywhere.
+    marked = judged.unionByName(keyed.where("_key is null").select("doc_id", "i", "block", F.lit(True).alias("keep")))
     whole = marked.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("keep") & (F.trim("block") != ""), F.struct("i", "block")))).alias("parts"), F.sum(F.col("keep").cast("long")).alias("kept"), F.sum((~F.col("keep")).cast("long")).alias("dropped")
     )
@@ -38,9 +41,12 @@ def dedupe_paragraphs(docs: DataFrame, separator: str = "\n\n", least: int = c.M
 
 def biggest_of(rows: DataFrame, key: str, size: str, order: tuple[str, ...]) -> DataFrame:
     """Of rows that share a key the biggest, then the first in order; rows without a key stay."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(size), *order))
+    columns = [F.col(f"`{x}`") for x in rows.columns]
+    # Bigger first, then smaller in order: a minimum with partial aggregation, not a window over a site's pages.
+    first = F.struct((-F.col(size)).alias("_s"), *[F.col(x).alias(f"_{k}") for k, x in enumerate(order)])
     named = rows.where((F.col(key).isNotNull()) & (F.col(key) != ""))
-    return named.withColumn("_r", rank).where("_r = 1").drop("_r").unionByName(rows.where(F.col(key).isNull() | (F.col(key) == "")))
+    best = named.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), first).alias("row")).select("row.*")
+    return best.unionByName(rows.where(F.col(key).isNull() | (F.col(key) == "")))
 
 
 def dedupe_report(docs: DataFrame, group: str = "source") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry import config as c
 from quarry.functions import text as X
+from quarry.operators.ranks import range_of, with_places
 from quarry.sources import records as R
 
 #: Shapes of examples by field: question and answer; {e} the record, {v} the value.
@@ -21,7 +22,8 @@ TEMPLATES = (
 VALUE_CHARS, MAX_PAIRS = 220, 4
 #: Shape: how often a record gives an example of it.
 GATES = {"qa": 0.85, "open": 0.55, "unknown": 0.12}
-NEIGHBOURS = 300
+#: Records before one that its decoy is drawn from, and those that an unknown name is drawn from.
+NEIGHBOURS, STRANGERS = 300, 500
 
 
 def _with_values(records: DataFrame) -> DataFrame:
@@ -52,8 +54,7 @@ def open_ended(records: DataFrame, seed: str = "qa") -> DataFrame:
 
 def with_neighbour(records: DataFrame, by: str, seed: str = "decoy", most: int = NEIGHBOURS) -> DataFrame:
     """Each record with one of the up to `most` before it in its group, drawn; none for a group's first."""
-    w = Window.partitionBy(by).orderBy("doc_id")
-    place = records.withColumn("_p", F.row_number().over(w))
+    place = with_places(records, by, ["doc_id"], range_of(records, "doc_id")).withColumn("_p", F.col("place") + 1).drop("place", "before")
     back = 1 + F.floor(X.draw(F.col("doc_id").cast("string"), F.lit(seed)) * F.least(F.lit(most), F.col("_p") - 1)).cast("int")
     asked = place.withColumn("_q", F.col("_p") - back).where("_p > 1")
     other = place.select(F.col(by).alias("_by"), F.col("_p").alias("_op"), F.col("doc_id").alias("other_id"), F.col("text").alias("other_text"))
@@ -62,7 +63,7 @@ def with_neighbour(records: DataFrame, by: str, seed: str = "decoy", most: int =
 
 def unknown_pairs(records: DataFrame, by: str, seed: str = "qa") -> DataFrame:
     """A question about another record's name, put with this record's text: the right answer is not to know."""
-    rows = with_neighbour(records, by).where(X.draw(F.col("doc_id").cast("string"), F.lit("gate-unknown"), F.lit(seed)) < GATES["unknown"])
+    rows = with_neighbour(records, by, most=STRANGERS).where(X.draw(F.col("doc_id").cast("string"), F.lit("gate-unknown"), F.lit(seed)) < GATES["unknown"])
     name = X.drop_reality(X.headline(F.col("other_text")))
     return rows.where(name != X.drop_reality(X.headline(F.col("text")))).select("doc_id", F.lit("unknown").alias("kind"), F.concat(F.lit("Who is "), name, F.lit("?")).alias("user"), F.concat(F.lit("I don't have "), name, F.lit(" in my sources.")).alias("assistant"))
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quarry import config as c
 from quarry.functions import text as X
+from quarry.operators.ranks import range_of, with_places
 
 
 def strided_split(docs: DataFrame, by: str, order: str = "doc_id", stride: int = c.VAL_STRIDE) -> DataFrame:
-    """Split is 'val' for the last of every `stride` documents of a group, in order, else 'train'."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return docs.withColumn("split", F.when(place % stride == stride - 1, "val").otherwise("train"))
+    """Split is 'val' for the last of every `stride` documents of a group, in (numeric) order, else 'train'."""
+    placed = with_places(docs, by, [order], range_of(docs, order))
+    return placed.withColumn("split", F.when(F.col("place") % stride == stride - 1, "val").otherwise("train")).drop("place", "before")
 
 
 def proportional_budget(docs: DataFrame, budget: int, by: str = "source", least: int = c.MIN_FILE_BYTES) -> DataFrame:
@@ -27,8 +28,8 @@ def proportional_budget(docs: DataFrame, budget: int, by: str = "source", least:
 def budget_sample(docs: DataFrame, budget: int, by: str = "source", seed: str = "sample") -> DataFrame:
     """From each group documents that their draw keeps, in order, until the group's share is reached (the one that reaches it included)."""
     kept = docs.join(proportional_budget(docs, budget, by), by).where(X.draw(F.col("doc_id").cast("string"), F.lit(seed)) <= F.col("keep_prob"))
-    before = F.sum(F.length("text")).over(Window.partitionBy(by).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    return kept.withColumn("before", F.coalesce(before, F.lit(0))).where("before < share").drop("size", "share", "keep_prob")
+    placed = with_places(kept, by, ["doc_id"], range_of(docs, "doc_id"), F.length("text"))
+    return placed.where("before < share").drop("size", "share", "keep_prob", "place")
 
 
 def shuffled(docs: DataFrame, seed: str) -> Column:
@@ -36,6 +37,22 @@ def shuffled(docs: DataFrame, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(seed)))
 
 
+def shuffled_places(docs: DataFrame, by: str, seed: str) -> DataFrame:
+    """Docs with place, from 1, in the group's shuffled order. The key is even, so that its first digits make the ranges."""
+    keyed = docs.withColumn("_key", shuffled(docs, seed))
+    placed = with_places(keyed, by, ["_key"], F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
+    return placed.withColumn("place", F.col("place") + 1).drop("_key", "before")
+
+
+def stream_offsets(docs: DataFrame, by: str, size: Column) -> DataFrame:
+    """P10: docs with a, the sum of `size` of all before, by group and then doc_id."""
+    placed = with_places(docs, by, ["doc_id"], range_of(docs, "doc_id"), size)
+    sizes = docs.groupBy(by).agg(F.sum(size).alias("m"))
+    # As many rows as there are groups.
+    ahead = with_places(sizes, None, [by], F.lit(0), F.col("m")).select(F.col(by).alias("_by"), F.col("before").alias("ahead"))
+    return placed.join(ahead, F.col(by).eqNullSafe(F.col("_by"))).withColumn("a", F.col("ahead") + F.col("before")).drop("_by", "ahead", "before", "place")
+
+
 def slice_chunks(total: int, chunk: int, chunks: int = 100) -> list[tuple[int, int]]:
     """P10: (start, stop) of `chunks` evenly spaced runs of `chunk` tokens of a stream of `total`."""
     last = max(total - chunk, 0)

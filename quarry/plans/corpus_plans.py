@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import config as c
@@ -105,9 +105,7 @@ def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
-    order = Window.partitionBy("source").orderBy(P.shuffled(d, "mix"))
-    return d.select("doc_id", "source", F.row_number().over(order).alias("place"))
+    return P.shuffled_places(documents(spark, sf_dir), "source", "mix").select("doc_id", "source", F.col("place").cast("int").alias("place"))
 
 
 def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +116,8 @@ def eval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def slice_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: documents that evenly spaced chunks of the token stream touch, with the tokens taken of each."""
     d = documents(spark, sf_dir).select("doc_id", "source", (F.size(X.raw_tokens(F.col("text"))) + 1).cast("long").alias("n"))
-    sizes = d.groupBy("source").agg(F.sum("n").alias("m"))
-    ahead = sizes.select("source", (F.sum("m").over(Window.orderBy("source")) - F.col("m")).alias("ahead"))
-    placed = d.join(ahead, "source").withColumn("a", F.col("ahead") + F.sum("n").over(Window.partitionBy("source").orderBy("doc_id")) - F.col("n"))
-    total = sizes.agg(F.sum("m")).first()[0] or 0
+    placed = P.stream_offsets(d, "source", F.col("n"))
+    total = d.agg(F.sum("n")).first()[0] or 0
     chunks = spark.createDataFrame(P.slice_chunks(total, 1000, 50), "lo long, hi long")
     met = placed.join(F.broadcast(chunks), (F.col("a") < F.col("hi")) & (F.col("a") + F.col("n") > F.col("lo")))
     return met.groupBy("doc_id").agg(F.sum(F.least(F.col("a") + F.col("n"), "hi") - F.greatest("a", "lo")).alias("taken"))
@@ -152,8 +148,8 @@ def scored_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P14 for a target of one half, of each split's scored share."""
-    s = scored_share(spark, sf_dir)
-    return s.select("split", F.round(1 - 0.5 / (F.col("share") * 0.5 + 0.5), 6).alias("replay"))
+    rows = [(r.split, round(P.replay_probability(0.5, r.share), 6)) for r in scored_share(spark, sf_dir).collect()]
+    return spark.createDataFrame(rows, "split string, replay double")
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

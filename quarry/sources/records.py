@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import config as c
 from quarry.functions import text as X
+from quarry.operators.ranks import range_of, with_places
 
 RAW_PAGE = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("title", T.StringType()), T.StructField("api", T.StringType()), T.StructField("fetched_at", T.StringType()), T.StructField("wikitext", T.StringType())]
@@ -45,9 +46,9 @@ def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> Non
 def with_doc_ids(blocks: DataFrame) -> DataFrame:
     """doc_id: the place in (file, pos) order from 0. Counts per file are summed first, so that no one task orders all rows."""
     sizes = blocks.groupBy("file").agg(F.count("*").alias("n"))
-    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1
-    return blocks.withColumn("_place", place).join(before, "file").withColumn("doc_id", (F.col("ahead") + F.col("_place")).cast("long")).drop("ahead", "_place")
+    before = with_places(sizes, None, ["file"], F.lit(0), F.col("n")).select("file", F.col("before").alias("ahead"))
+    placed = with_places(blocks, "file", ["pos"], range_of(blocks, "pos")).drop("before").join(before, "file")
+    return placed.withColumn("doc_id", (F.col("ahead") + F.col("place")).cast("long")).drop("ahead", "place")
 
 
 def _is_stop(line: Column, stops: tuple[str, ...]) -> Column:
