@@ -62,14 +62,15 @@ def _lookup(template: Template) -> Column:
 def format_chats(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """(conv_id, n_turns, valid, bad_turn, formatted, segments) for each conv_id of turns (conv_id, turn, role, text).
 
-    Turns go by turn, then role and text (ties and repeated rows all stay); null texts and roles are empty; rows with a null conv_id are one
-    conversation. valid: the roles' order is the machine's; bad_turn: the place (from 1) of the first turn without a move, 0 if none, or one
+    Turns go by turn, then role and text (ties and repeated rows all stay); null texts and roles are empty; each row with a null conv_id is a
+    conversation of its own. valid: the roles' order is the machine's; bad_turn: the place (from 1) of the first turn without a move, 0 if none, or one
     after the last where the end isn't accepted. segments: (text, loss), whose texts make up formatted; only texts of loss roles have the flag,
     in conversations of any order. Further columns are ignored; an empty table gives an empty result. A conversation is one value of
     the result, so all its turns meet in one row; nothing else of it is gathered.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    chats = turns.select("conv_id", alone.alias("alone"), turn.alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     moves = _lookup(template)
 
     def segments(t: Column) -> Column:

@@ -22,6 +22,8 @@ from .common import blobs, cut, held_out, small_batches, text_chunks
 SLOTS = 1 << 12
 #: Labelled documents of each language, and of all languages, that the machines are fitted on, at most (those of least hash).
 PER_LANGUAGE, SAMPLE_LIMIT = 400, 6000
+#: Languages that are learned at most: of a table with more labels, those with the most documents.
+MAX_LANGUAGES = 1000
 #: Cost of a margin violation, and passes over the sample.
 COST, PASSES = 4.0, 30
 UNKNOWN = "und"
@@ -155,7 +157,7 @@ def train(labelled: DataFrame) -> Model | None:
     Vectors are made where the texts are; only they come to the driver.
     """
     spark = labelled.sparkSession
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
     each = max(4, min(PER_LANGUAGE, SAMPLE_LIMIT // len(counts)))

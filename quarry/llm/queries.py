@@ -20,6 +20,9 @@ from .substring import dedup_substrings
 from .warc import archive_digests
 
 
+_SAID = "<|im_end|><|im_start|>assistant ok"
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -46,9 +49,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat_digests(turns.unionByName(extra))
+    extra = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}') AS t(conv_id, turn, role, text)")
+    return chat_digests(turns.unionByName(extra.select(*[extra[f.name].cast(f.dataType) for f in turns.schema])))
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +69,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_secrets, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_simhash, op6_quality, op7_chat, op8_pack, op9_warc, op10_langid)
 }
-_SAID = "<|im_end|><|im_start|>assistant ok"
 _ESCAPE = r"regexp_replace({0}, '<(\\*)\|', '<\\\1|', 'g')"
 _ROLE = _ESCAPE.format("replace(replace(role, '\\', '\\\\'), chr(10), '\\n')")
 
-_CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
- p AS (SELECT *, row_number() OVER w AS p, first_value(role) OVER w = 'system' AS led FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+_CHAT = f"""WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, NULL, 0, 'user', '{_SAID}' UNION ALL SELECT -1, NULL, 1, 'assistant', '{_SAID}'),
+ p AS (SELECT *, row_number() OVER w AS p, first_value(role) OVER w = 'system' AS led FROM t WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
  e AS (SELECT *, CASE WHEN p = 1 THEN role IN ('system', 'user') WHEN (p - led::INTEGER) % 2 = 1 THEN role = 'user' ELSE role = 'assistant' END AS fits FROM p),
  g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY p) AS said, coalesce(string_agg(text, '' ORDER BY p) FILTER (WHERE role = 'assistant'), '') AS loss,
-   sum(12 + length({_ROLE}) + 1 + length({_ESCAPE.format('text')}) + 11)::BIGINT AS formatted_chars, coalesce(min(p) FILTER (WHERE NOT fits), CASE WHEN arg_max(role, p) = 'assistant' THEN 0 ELSE count(*) + 1 END)::INTEGER AS bad_turn FROM e GROUP BY conv_id)
+   sum(12 + length({_ROLE}) + 1 + length({_ESCAPE.format('text')}) + 11)::BIGINT AS formatted_chars, coalesce(min(p) FILTER (WHERE NOT fits), CASE WHEN arg_max(role, p) = 'assistant' THEN 0 ELSE count(*) + 1 END)::INTEGER AS bad_turn FROM e GROUP BY conv_id, alone)
  SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, bad_turn = 0 AS valid, bad_turn FROM g"""
 
 _WARC = r"""WITH p AS (SELECT page_id, replace(replace(replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), chr(9), '%09'), ' ', '%20') AS url, coalesce(html, '') AS html FROM pages),

@@ -37,7 +37,7 @@ def _uri(url: Column) -> Column:
 def record_header(kind: Column, page_id: Column, url: Column, digest: Column, refers_to: Column, size: Column) -> Column:
     """The header's exact text, up to and with its blank line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
+    urn = lambda x: F.concat(F.lit("<urn:page:"), F.url_encode(x.cast("string")), F.lit(">"))
     revisit = F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), F.coalesce(line("WARC-Refers-To", urn(refers_to)), F.lit("")))
     return F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", kind), line("WARC-Record-ID", F.coalesce(urn(page_id), F.lit("<urn:page:none>"))), line("WARC-Date", F.lit(WARC_DATE)),
@@ -82,6 +82,13 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("page_id", "header", record.alias("record"), "payload", F.coalesce("verified", F.lit(False)).alias("verified"))
 
 
+def export_warc(spark: SparkSession, folder: str, out: str) -> None:
+    """Write the archive's records, byte for byte, as WARC files in the folder `out`: parts in page order, each a sequence of whole records."""
+    # A record ends with a line end, which is what the sink puts after each row.
+    whole = read_archive(spark, folder).select("page_id", F.substring("record", F.lit(1), F.octet_length("record") - 1).cast("string").alias("value"))
+    whole.repartitionByRange("page_id").sortWithinPartitions("page_id").select("value").write.mode("overwrite").option("lineSep", "\n").text(out)
+
+
 def _field(name: str) -> Column:
     return F.regexp_extract("header", rf"\n{name}: ([^\r\n]*)\r\n", 1)
 
@@ -97,10 +104,10 @@ def archive_digests(pages: DataFrame) -> DataFrame:
     write_archive(pages, folder)
     back = read_archive(spark, folder)
     kind = _field("WARC-Type")
-    refers = F.regexp_extract(_field("WARC-Refers-To"), r"^<urn:page:(-?\d+)>$", 1)
+    refers = F.regexp_extract(_field("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)
     digest = base32_sha1(F.col("payload"))
     return back.select(
         "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"), kind.alias("record_type"),
-        F.when((kind == "revisit") & (refers != ""), refers.cast(pages.schema["page_id"].dataType)).alias("refers_to"),
+        F.when((kind == "revisit") & (refers != ""), F.url_decode(refers).cast(pages.schema["page_id"].dataType)).alias("refers_to"),
         (F.col("verified") & (F.concat(F.lit("sha1:"), digest) == _field("WARC-Payload-Digest"))).alias("verified"), F.octet_length("record").cast("long").alias("record_bytes"),
     )

@@ -25,13 +25,16 @@ def test_round_trip_and_order(spark):
     }
     rows = [(c, t, r, x, "extra") for c, ts in chats.items() for t, r, x in ts]
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    out = {r.conv_id: r for r in chat_digests(docs).collect()}
-    assert set(out) == set(chats)
+    rows_out = chat_digests(docs).collect()
+    out = {r.conv_id: r for r in rows_out if r.conv_id is not None}
+    assert set(out) == set(chats) - {None}
+    # Each row without a conversation is one.
+    assert sorted(r.turns_sha256 for r in rows_out if r.conv_id is None) == sorted(brute([(t if t is not None else -1, a, b)])[1] for t, a, b in chats.pop(None))
     for c, ts in chats.items():
         r = out[c]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == brute([(t if t is not None else -1, a, b) for t, a, b in ts]), c
     assert out[-1].valid and out[2].valid and not out[3].valid and out[3].bad_turn == 1 and out[4].bad_turn == 1
-    made = {r.conv_id: r for r in format_chats(docs).collect()}
+    made = {r.conv_id: r for r in format_chats(docs).collect() if r.conv_id is not None}
     for c, r in made.items():
         assert r.formatted == "".join(s.text for s in r.segments) and r.formatted.count("<|") == 2 * r.n_turns
         assert out[c].formatted_chars == len(r.formatted)
