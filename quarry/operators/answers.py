@@ -87,16 +87,24 @@ def field_answers(questions: DataFrame) -> DataFrame:
     return rows.withColumn("value", value).withColumn("parts", _fitted(items)).select("qid", F.col("i.name").alias("intent"), answer.alias("answer"))
 
 
-def profile_rows(records: DataFrame) -> DataFrame:
-    """Q2: (doc_id, place, label, value): up to PROFILE_ROWS of the profile fields that a record has, in order."""
-    t = F.col("text")
+def _profile(t: Column) -> Column:
+    """[(label, value)] of the profile fields that a record has, in order, PROFILE_ROWS at most."""
     rows = []
     for key, label in PROFILE_FIELDS:
         items = clean_items(R.field_value(t, key))
         items = without_citations(items) if key == "Powers" else items
         rows.append(F.struct(F.lit(label).alias("label"), F.array_join(F.transform(items, _short), "; ").alias("value")))
-    kept = F.slice(F.filter(F.array(*rows), lambda r: r["value"] != ""), 1, PROFILE_ROWS)
-    return records.select("doc_id", F.posexplode(kept).alias("place", "r")).select("doc_id", (F.col("place") + 1).alias("place"), "r.label", "r.value")
+    return F.slice(F.filter(F.array(*rows), lambda r: r["value"] != ""), 1, PROFILE_ROWS)
+
+
+def profile_count(t: Column) -> Column:
+    """How many rows the record's profile has."""
+    return F.size(_profile(t))
+
+
+def profile_rows(records: DataFrame) -> DataFrame:
+    """Q2: (doc_id, place, label, value): up to PROFILE_ROWS of the profile fields that a record has, in order."""
+    return records.select("doc_id", F.posexplode(_profile(F.col("text"))).alias("place", "r")).select("doc_id", (F.col("place") + 1).alias("place"), "r.label", "r.value")
 
 
 def passages(asked: DataFrame, skip: int = 0) -> DataFrame:

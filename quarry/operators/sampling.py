@@ -71,6 +71,47 @@ def shifted(tokens: Column, start: Column, block: int) -> Column:
     return F.struct(F.slice(tokens, (start + 1).cast("int"), F.lit(block)).alias("x"), F.slice(tokens, (start + 2).cast("int"), F.lit(block)).alias("y"))
 
 
+def random_windows(streams: DataFrame, block: int, windows: int, seed: str = "batch", mask: bool = False) -> DataFrame:
+    """(doc_id, i, start, x, y, m) of streams (doc_id, tokens, and mask if asked for): `windows` drawn blocks of each stream of more than `block` + 1 tokens, and the same one later.
+
+    A start is uniform below size - block - 1, and hangs on id, number and seed alone. m is the mask under y, the targets; a stream whose mask isn't as long as its tokens fails.
+    """
+    hi = F.size("tokens") - block - 1
+    at = F.floor(X.draw(F.col("doc_id").cast("string"), F.col("i").cast("string"), F.lit(seed)) * hi).cast("int")
+    drawn = streams.where(hi > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(windows - 1)))).withColumn("start", at)
+    part = lambda k, ahead: F.slice(k, F.col("start") + 1 + ahead, F.lit(block))
+    same = F.when(F.size("mask") == F.size("tokens"), part("mask", 1)).otherwise(F.raise_error(F.lit("mask and tokens differ in length"))) if mask else None
+    return drawn.select("doc_id", "i", "start", part("tokens", 0).alias("x"), part("tokens", 1).alias("y"), *([same.alias("m")] if mask else []))
+
+
+def replay_windows(own: DataFrame, other: DataFrame, block: int, windows: int, probability: float, seed: str = "replay") -> DataFrame:
+    """(seq, replayed, x, y): `windows` sequences, each wholly of `other` with this probability, else of `own` (stream_id from 0 without gaps, tokens).
+
+    A sequence draws its corpus, then a stream of it, then a start; the streams are met by equi-joins on their numbers.
+    """
+    if not 0 <= probability <= 1:
+        raise ValueError("probability must lie between 0 and 1")
+    spark = own.sparkSession
+    text = F.col("id").cast("string")
+    seqs = spark.range(windows).select(F.col("id").alias("seq"), (X.draw(text, F.lit("corpus"), F.lit(seed)) < probability).alias("replayed"), X.draw(text, F.lit("stream"), F.lit(seed)).alias("d"), X.draw(text, F.lit("start"), F.lit(seed)).alias("e"))
+
+    def drawn(streams: DataFrame, replayed: bool) -> DataFrame:
+        long = streams.where(F.size("tokens") > block + 1)
+        n = streams.agg(F.count("*")).first()[0]
+        asked = seqs.where(F.col("replayed") == replayed).withColumn("stream_id", F.floor(F.col("d") * n).cast("long"))
+        start = F.floor(F.col("e") * (F.size("tokens") - block - 1)).cast("int")
+        met = asked.join(long, "stream_id").withColumn("start", start)
+        return met.select("seq", "replayed", F.slice("tokens", F.col("start") + 1, F.lit(block)).alias("x"), F.slice("tokens", F.col("start") + 2, F.lit(block)).alias("y"))
+
+    return drawn(own, False).union(drawn(other, True))
+
+
+def first_to_budget(docs: DataFrame, budget: int) -> DataFrame:
+    """Documents with something in them, by doc_id, until their characters reach the budget; the one that reaches it is taken."""
+    some = docs.where(F.trim("text") != "")
+    return with_places(some, None, ["doc_id"], range_of(some, "doc_id"), F.length("text")).where(F.col("before") < budget).drop("place")
+
+
 def replay_probability(target: float, share: float) -> float:
     """How often to draw from the replayed corpus so that `target` of the scored tokens are the new corpus's, of whose tokens `share` are scored."""
     if not 0 < target < 1 or not 0 < share <= 1:
