@@ -205,8 +205,8 @@ def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42) -> DataF
 BLOCKS, BLOCK_BITS, SHINGLE, SIMILARITY = 4, 40, 5, 0.8
 #: Shingles in this many of one in SAMPLE texts come last in the order of prefixes, COMMON of them at most. Speed hangs on them, results don't.
 SAMPLE, COMMON_IN, COMMON = 16, 3, 1 << 17
-#: Rounds that compare a bucket's members with one of them, before all its pairs are compared that are still apart.
-STARS = 1
+#: Rounds in which each text is compared with one other, before all pairs of a bucket are compared that are still apart.
+STARS, BEST_ROUNDS = 1, 1
 #: Rows of two numbers that are broadcast, and shared shingles that travel to all tasks (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS, SHARED_ROWS = 500_000, 2_000_000
 #: Pairs of one text that one group of a comparison holds, about.
@@ -360,10 +360,14 @@ def _enough(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """
     texts = cut(rows.groupBy("t").agg(F.max("n").alias("n"), F.collect_set("h").alias("p")))
     of = lambda name: texts.select(F.col("t").alias(name), F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    rest = F.greatest(F.ceil(similarity * F.col("n_u") - 1e-9), F.ceil(similarity * F.col("n_v") - 1e-9)) - 1
-    need = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v"))
-    return both.where(F.size(F.array_intersect("p_u", "p_v")) + rest >= need - 1e-6).select("u", "v")
+    both = pairs.join(of("u"), "u").join(of("v"), "v").withColumn("c", F.size(F.array_intersect("p_u", "p_v")))
+    return both.where(_reachable("c", "n_u", "n_v", similarity)).select("u", "v")
+
+
+def _reachable(c: str, n: str, m: str, similarity: float) -> Column:
+    """Whether texts of n and m shingles that share c of their prefixes can be so alike (see _enough)."""
+    rest = F.greatest(F.ceil(similarity * F.col(n) - 1e-9), F.ceil(similarity * F.col(m) - 1e-9)) - 1
+    return F.col(c) + rest >= similarity / (1 + similarity) * (F.col(n) + F.col(m)) - 1e-6
 
 
 def _shared_prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -412,8 +416,8 @@ def _shared_prefixes(docs: DataFrame, width: int, similarity: float) -> DataFram
 def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """components() of the links that `linked`, components of texts, and all pairs of texts that are alike make; left: _shared_prefixes of the texts.
 
-    Texts that are alike share a shingle of their prefixes. Only shingles that texts of different components share are looked at: each of these texts is first
-    compared with one of them, and what is still in different components then pair by pair.
+    Texts that are alike share a shingle of their prefixes. Only shingles that texts of different components share are looked at. In each of some rounds one text leads
+    each shingle's texts, and each text is compared with the leader that it meets most often; what is still in different components then pair by pair.
     """
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -425,26 +429,44 @@ def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame]
         return cut(rows.join(_few(apart), "h").select("h", "t", "n", "at"))
 
     def linked_by(pairs: DataFrame) -> DataFrame:
-        found = alike(cut(_enough(pairs.distinct(), left, similarity)))
+        found = alike(cut(pairs))
         return cut(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (u, v, ...) that are in different components."""
+        part = lambda name: linked.select(F.col("node").alias(name), F.col("component").alias(f"part_{name}"))
+        both = pairs.join(part("u"), "u", "left").join(part("v"), "v", "left")
+        return both.where(F.coalesce("part_u", "u") != F.coalesce("part_v", "v")).select(*pairs.columns)
+
     left = met(placed(left, linked))
-    for k in range(STARS + 1):
+    for k in range(STARS):
         if left.isEmpty():
             return linked
         now = placed(left, linked)
-        if k < STARS:
-            star = now.groupBy("h").agg(F.min(F.struct("t", "n", "at", "part")).alias("one"))
-            # The same text leads all that a group of alike texts shares: t is a hash.
-            both = star.select("h", "one.*").alias("x").join(now.alias("y"), "h")
-        else:
-            both = now.alias("x").join(now.alias("y"), "h").where("x.t < y.t")
-        both = both.where((F.col("x.part") != F.col("y.part")) & _possible("x", "y", similarity))
-        linked = linked_by(both.select(F.col("x.t").alias("u"), F.col("y.t").alias("v")))
+        # The least edited text of a group shares most: it leads at first, and any other in later rounds.
+        shared = now.groupBy("t").agg((-F.count("*") / F.max("n")).alias("share"))
+        rank = F.struct("share", "t") if k == 0 else F.struct(F.xxhash64("t", F.lit(k)))
+        star = now.join(shared, "t").withColumn("rank", rank).groupBy("h").agg(F.min(F.struct("rank", "t", "n", "at", "part")).alias("one"))
+        both = star.select("h", "one.*").alias("x").join(now.alias("y"), "h").where((F.col("x.part") != F.col("y.part")) & _possible("x", "y", similarity))
+        met_often = both.select(F.col("x.t").alias("u"), F.col("y.t").alias("v")).groupBy("v", "u").agg(F.count("*").alias("n"))
+        linked = linked_by(_enough(met_often.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"), left, similarity))
         forget(left.sparkSession)
-        if k < STARS:
-            left = met(placed(left, linked))
-    return linked
+        left = met(placed(left, linked))
+    if left.isEmpty():
+        return linked
+    # All pairs that share enough. First each text's best one, so that most of the others end up in one component and needn't be compared.
+    now = placed(left, linked)
+    both = now.alias("x").join(now.alias("y"), "h").where((F.col("x.t") < F.col("y.t")) & (F.col("x.part") != F.col("y.part")))
+    counted = both.groupBy(F.col("x.t").alias("u"), F.col("y.t").alias("v")).agg(F.count("*").alias("c"), F.first("x.n").alias("nu"), F.first("y.n").alias("nv"))
+    pairs = cut(counted.where(_reachable("c", "nu", "nv", similarity)).select("u", "v", (F.col("c") / (F.col("nu") + F.col("nv"))).alias("c")))
+    for _ in range(BEST_ROUNDS):
+        if pairs.isEmpty():
+            return linked
+        ends = pairs.select("u", "v", "c", F.col("u").alias("t")).union(pairs.select("u", "v", "c", F.col("v").alias("t")))
+        best = cut(ends.groupBy("t").agg(F.max_by(F.struct("u", "v"), F.struct("c", "u", "v")).alias("p")).select("p.u", "p.v").distinct())
+        linked = linked_by(best)
+        pairs = cut(apart(pairs.join(best, ["u", "v"], "left_anti")))
+    return linked_by(pairs.select("u", "v"))
 
 
 def _groups(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
