@@ -124,9 +124,10 @@ def slice_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_pairs_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block of each document's tokens and the block one later, told by digests."""
-    t = documents(spark, sf_dir).select("doc_id", X.raw_tokens(F.col("text")).alias("t")).where("size(t) > 33").select("doc_id", P.shifted(F.col("t"), F.lit(0), 32).alias("p"))
-    return t.select("doc_id", F.md5(F.array_join("p.x", " ")).alias("x_md5"), F.md5(F.array_join("p.y", " ")).alias("y_md5"))
+    """All blocks of each document's tokens that have a token after them, and the blocks one later, told by digests."""
+    t = documents(spark, sf_dir).select("doc_id", X.raw_tokens(F.col("text")).alias("t")).where("size(t) >= 33")
+    starts = t.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("t") - 33, F.lit(32)))).select("doc_id", "start", P.shifted(F.col("t"), F.col("start"), 32).alias("p"))
+    return starts.select("doc_id", "start", F.md5(F.array_join("p.x", " ")).alias("x_md5"), F.md5(F.array_join("p.y", " ")).alias("y_md5"))
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,8 @@ ORACLES = {
  t AS (SELECT sum(n)::BIGINT AS total FROM d), k AS (SELECT total, greatest(least(50, total // 1000), 1) AS k FROM t),
  chunks AS (SELECT floor(i * (total - 1000) / (k - 1))::BIGINT AS lo FROM k, range(50) r(i) WHERE i < k)
  SELECT doc_id, sum(least(a + n, lo + 1000) - greatest(a, lo))::BIGINT AS taken FROM d JOIN chunks ON a < lo + 1000 AND a + n > lo GROUP BY doc_id""",
-    "window_pairs_shift": f"SELECT doc_id, md5(array_to_string(t[1:32], ' ')) AS x_md5, md5(array_to_string(t[2:33], ' ')) AS y_md5 FROM (SELECT doc_id, {Q.raw_tokens('text')} AS t FROM documents) WHERE len(t) > 33",
+    "window_pairs_shift": f"""SELECT doc_id, s::INTEGER AS start, md5(array_to_string(t[s + 1 : s + 32], ' ')) AS x_md5, md5(array_to_string(t[s + 2 : s + 33], ' ')) AS y_md5
+ FROM (SELECT doc_id, t, unnest(range(0, len(t) - 32, 32)) AS s FROM (SELECT doc_id, {Q.raw_tokens('text')} AS t FROM documents) WHERE len(t) >= 33)""",
     "token_ids": f"SELECT doc_id, len(t) + 1 AS n, (coalesce(list_sum(list_transform(t, lambda x: ('0x' || left(md5(x), 8))::BIGINT % 49998 + 2)), 0) + 1)::BIGINT AS total FROM (SELECT doc_id, {Q.raw_tokens('text')} AS t FROM documents WHERE trim(text) <> '')",
     "sft_mask": f"WITH {_SFT} SELECT conv_id, turn, n_prompt, n_answer, n_answer AS scored FROM sft",
     "scored_share": f"WITH {_SFT}, {_SHARE} SELECT * FROM share",

@@ -69,7 +69,16 @@ QUERIES = {f.__name__: f for f in (session_replay, progress_windows, sft_example
 
 _FIELDS = """WITH rec AS (SELECT c_custkey AS doc_id, c_name, CASE WHEN c_custkey % 3 > 0 THEN n_name || ' and ' || r_name ELSE '' END AS created,
  'Comics Vol 1 5, ' || lower(c_mktsegment) || ', Formerly: and ' || lower(r_name) || ' Category: x' AS powers, lower(c_mktsegment) AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),"""
+_EXAMPLES = f"""{name_plans._RECORDS}, g AS (SELECT *, replace(created, '; ', ' and ') AS made, 'Comics Vol 1 5, ' || seg || ', Formerly: and ' || reg || ' Category: x' AS pow, {Q.draw("doc_id::VARCHAR", "'gate-qa'", "'qa'")} < {E.GATES["qa"]} AS qa,
+   {Q.draw("doc_id::VARCHAR", "'gate-open'", "'qa'")} < {E.GATES["open"]} AS op, {Q.draw("doc_id::VARCHAR", "'gate-unknown'", "'qa'")} < {E.GATES["unknown"]} AS un FROM rec),
+ ex AS (SELECT doc_id, 'qa' AS kind, 'Who created ' || c_name || '?' AS user, c_name || ' was created by ' || made || '.' AS assistant FROM g WHERE qa AND created <> ''
+   UNION ALL SELECT doc_id, 'qa', 'What can ' || c_name || ' do?', c_name || ' has these powers: ' || pow || '.' FROM g WHERE qa UNION ALL SELECT doc_id, 'qa', 'What does ' || c_name || ' work as?', c_name || ' works as ' || seg || '.' FROM g WHERE qa
+   UNION ALL SELECT doc_id, 'open', 'Who is ' || c_name || '?', c_name || ' - ' || CASE WHEN created <> '' THEN 'created by: ' || made || '; ' ELSE '' END || 'powers: ' || pow || '; occupation: ' || seg || '.' FROM g WHERE op)"""
+
 ORACLES = {
+    "sft_examples": f"WITH {_EXAMPLES} SELECT * FROM ex",
+    "sft_examples_mix": f"""WITH {_EXAMPLES}, un AS (SELECT count(*) AS n FROM (SELECT un, row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) AS p FROM g) WHERE un AND p > 1),
+ k AS (SELECT kind, count(*) AS n FROM ex GROUP BY kind UNION ALL SELECT 'unknown', n FROM un WHERE n > 0) SELECT kind, n, round(n / sum(n) OVER (), 9) AS share FROM k""",
     "session_replay": r"""SELECT conv_id, turn, last_value(named IGNORE NULLS) OVER w AS about, named IS NOT NULL AS fresh, least(20, count(*) OVER w)::INTEGER AS turns_kept
  FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN nullif(regexp_extract(text, '([A-Z][a-z]{7,})', 1), '') END AS named FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "progress_windows": "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1",

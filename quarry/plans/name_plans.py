@@ -86,7 +86,7 @@ def ambiguity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _ranked(spark, sf_dir).where("rnk <= 6").join(R.documents(spark, sf_dir).select("doc_id", X.clip(F.col("text"), 700).alias("block")), "doc_id")
+    blocks = _ranked(spark, sf_dir).where("rnk <= 6").join(R.documents(spark, sf_dir).select("doc_id", F.col("text").alias("block")), "doc_id")
     return A.context_blocks(blocks.select("qid", "rnk", "block")).select("qid", "n_blocks", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
@@ -215,6 +215,15 @@ ORACLES = {
     "candidates_identity": f"WITH {_CANDIDATES} SELECT qid, place, doc_id, score FROM cand",
     "ambiguity_flags": f"""WITH {_CANDIDATES}, two AS (SELECT qid, max(CASE WHEN place = 1 THEN score END) AS s1, max(CASE WHEN place = 2 THEN score END) AS s2 FROM cand GROUP BY qid)
  SELECT qid, doc_id, CASE WHEN s2 IS NULL THEN false WHEN s1 <= 0 THEN true ELSE (s1 - s2) / abs(s1) < {c.AMBIGUITY_MARGIN} END AS ambiguous FROM cand JOIN two USING (qid) WHERE place = 1""",
+    "context_blocks": f"""WITH {_RANKED_DOCS}, b AS (SELECT qid, rnk, text, sum(length(text)) OVER (PARTITION BY qid ORDER BY rnk) AS upto FROM top JOIN documents USING (doc_id) WHERE rnk <= 6)
+ SELECT qid, count(*) AS n_blocks, length(string_agg(text, chr(10) || chr(10) ORDER BY rnk)) AS n_chars, md5(string_agg(text, chr(10) || chr(10) ORDER BY rnk)) AS context_md5 FROM b WHERE upto <= {c.CONTEXT_CHARS} OR rnk = 1 GROUP BY qid""",
+    "passage_select": rf"""WITH {_RANKED_DOCS}, k AS (SELECT qid || '-' || rnk AS id, text, list_distinct({Q.query_key("question")}) AS terms FROM top JOIN documents USING (doc_id) JOIN questions USING (qid) WHERE rnk <= 3),
+ ss AS (SELECT id, terms, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), ';\s+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= {c.MIN_SENTENCE_CHARS} AND NOT regexp_matches(x, '{A.BOILERPLATE}')) AS s FROM k),
+ se AS (SELECT id, terms, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM ss),
+ hi AS (SELECT id, i, x, unnest(list_filter(terms, lambda t: list_contains({Q.norm("x")}, t))) AS t FROM se),
+ sc AS (SELECT id, i, any_value(x) AS x, round(sum(w), 9) AS score FROM hi JOIN (SELECT id, t, 1 / count(*) AS w FROM hi GROUP BY ALL) USING (id, t) GROUP BY id, i),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, i) AS r, max(score) OVER (PARTITION BY id) AS best FROM sc)
+ SELECT id AS qid, md5(string_agg(x, ' ' ORDER BY i)) AS passage_md5 FROM rk WHERE r <= {A.PASSAGE_SENTENCES} AND score >= {A.PASSAGE_FLOOR} * best GROUP BY id""",
     "profile_rows": f"""WITH {_RECORDS}, f AS (SELECT doc_id, 1 AS o, 'Powers' AS label, seg || '; ' || reg AS value FROM rec UNION ALL SELECT doc_id, 2, 'Created by', created FROM rec WHERE created <> '' UNION ALL SELECT doc_id, 4, 'Occupation', seg FROM rec)
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o)::INTEGER AS place, label, value FROM f""",
     "field_answers": f"""WITH {_RECORDS} SELECT doc_id AS qid, CASE doc_id % 3 WHEN 0 THEN 'creator' WHEN 1 THEN 'powers' ELSE 'occupation' END AS intent,
