@@ -457,8 +457,8 @@ def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame]
     # All pairs that share enough. First each text's best one, so that most of the others end up in one component and needn't be compared.
     now = placed(left, linked)
     both = now.alias("x").join(now.alias("y"), "h").where((F.col("x.t") < F.col("y.t")) & (F.col("x.part") != F.col("y.part")))
-    counted = both.groupBy(F.col("x.t").alias("u"), F.col("y.t").alias("v")).agg(F.count("*").alias("c"), F.first("x.n").alias("nu"), F.first("y.n").alias("nv"))
-    pairs = cut(counted.where(_reachable("c", "nu", "nv", similarity)).select("u", "v", (F.col("c") / (F.col("nu") + F.col("nv"))).alias("c")))
+    counted = both.groupBy(F.col("x.t").alias("u"), F.col("y.t").alias("v")).agg(F.count("*").alias("c"), F.first("x.n").alias("nu"), F.first("y.n").alias("nv"), F.max(_possible("x", "y", similarity)).alias("ok"))
+    pairs = cut(counted.where(F.col("ok") & _reachable("c", "nu", "nv", similarity)).select("u", "v", (F.col("c") / (F.col("nu") + F.col("nv"))).alias("c")))
     for _ in range(BEST_ROUNDS):
         if pairs.isEmpty():
             return linked
