@@ -18,6 +18,8 @@ from . import words
 from .common import blobs, cut, small_batches, text_chunks
 
 SPAN, MIN_WORDS, LONG = 3, 10, 16
+#: Repeated runs (a hash and a place each) that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: In long stretches one word in so many ends a sentence.
 PICK = 4
 _STOPS = np.zeros(256, dtype=bool)
@@ -83,9 +85,11 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, t, i, m): runs that occur before, by doc_id (null before all), text and place, elsewhere or in the same document; t is the text's hash."""
-    spans = cut(_spans(docs))
+    # Hashed twice: spans take more room written than their texts do.
+    spans = _spans(docs)
     first = spans.groupBy("h").agg(F.min(F.struct("doc_id", "t", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    joined = spans.join(first, "h")
+    first = cut(first)
+    joined = spans.join(F.broadcast(first) if first.count() <= BROADCAST_ROWS else first, "h")
     return joined.where(~(F.struct("doc_id", "t", "i").eqNullSafe(F.col("first")))).select("doc_id", "t", "i", "m")
 
 
