@@ -102,6 +102,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     shares is a third of the join's left side, which the join splits; each document's own list of runs is bounded by its length.
     """
     marks = repeated_spans(docs).groupBy(F.col("doc_id").alias("mark_id"), F.col("t").alias("mark_t")).agg(F.collect_set(F.col("i").cast("long") * 16 + F.col("m")).alias("runs"))
+    marks = cut(marks)
+    size = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("runs")).first()
+    # Texts stay where they are while the marks fit a broadcast (8 bytes each).
+    marks = F.broadcast(marks) if size.n <= BROADCAST_ROWS and size.runs <= 4 * BROADCAST_ROWS else marks
     same = F.col("doc_id").eqNullSafe(F.col("mark_id")) & (F.col("t") == F.col("mark_t"))
     joined = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(marks, same, "left").select("doc_id", "text", "runs")
 
