@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,29 @@ def small_batches(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there; survives the loss of executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    trim(df.sparkSession)
+    return out
 
 
 def forget(spark: SparkSession) -> None:
     """Let the driver drop what nothing refers to any more: the shuffle files and checkpoints of stages before a cut."""
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Return the driver's freed native memory to the system: compiling the code of many plans leaves hundreds of MB in the allocator. Where a JVM has no such command nothing is done."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, said = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    try:
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(kind)
+        said[0], said[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's class isn't public; its interface is.
+        jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), said)
+    except Py4JError:
+        pass
 
 
 def _give_back() -> None:
