@@ -108,3 +108,36 @@ def test_passages_of_fifty_words_go_wherever_they_begin(spark):
     for name, shares in gone.items():
         assert sum(x > 0.5 for x in shares) >= 0.9 * len(shares), (name, shares)
     assert all(len(left[i]) for i, _ in docs)
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_runs_that_occur_once_are_shuffled_by_a_few_bytes(spark):
+    rng = random.Random(10)
+    rows = [(i, "\n".join(f"{rng.randrange(10**8):08x}" for _ in range(400))) for i in range(300)]
+    rows.append((300, rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4).localCheckpoint()
+    before = shuffled_bytes(spark)
+    out = {r.doc_id: r for r in s.dedup_substrings(docs).collect()}
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t in rows)
+    assert [i for i, r in out.items() if r.n_removed] == [300] and out[300].text == "" and all(out[i].text == t for i, t in rows[:300])
+
+
+def test_members_are_never_missed(spark):
+    from quarry.llm import members as m
+
+    rng = np.random.default_rng(11)
+    h = rng.integers(0, 2**64, 30_000, dtype=np.uint64)
+    h[:3] = 0, 1, 2**64 - 1
+    parts = [h[:20_000], h[10_000:], h[:1], h[2:3], h[2:3]]
+    rows = [(b, s) for part in (parts[:1], parts[1:2], parts[2:]) for batch in m.packed(iter(part)) for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    assert not m.members(spark.createDataFrame([], "b int, s binary"), 2).has(h).any()
+    table = spark.createDataFrame(rows, "b int, s binary")
+    assert m.members(table, 1).has(h).all()
+    found = m.members(table, 2).has(h)
+    assert found[10_000:20_000].all() and found[0] and found[2] and found.sum() < 11_500
