@@ -211,6 +211,10 @@ STARS, BEST_ROUNDS = 1, 1
 BROADCAST_ROWS, SHARED_ROWS = 500_000, 2_000_000
 #: Pairs of one text that one group of a comparison holds, about.
 PAIRS_OF_ONE = 500
+#: Texts of one shingle that are paired with each other; more are told apart by their differences from one of them, in so many rounds at most.
+FEW_TEXTS, ROUNDS = 100, 3
+#: Numbers of differences that a batch holds, about.
+_DIFFERENCES_AT_ONCE = 500_000
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -319,11 +323,24 @@ def _shingle_sets(asked: DataFrame, width: int) -> DataFrame:
     return asked.select("t", "text").mapInArrow(run, "t long, s binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) whose shingle sets have at least this Jaccard similarity; two texts without words are alike.
+def _beside_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, k, v, s) in order of u and k: the set of each v beside that of its u, which comes first with a null v.
 
     The set of u comes once to each group of its pairs; a text of many pairs has many groups, so that none is long.
     """
+    groups = cut(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_OF_ONE).cast("int").alias("k")))
+    of = lambda name: sets.select(F.col("t").alias(name), "s")
+    each = pairs.join(groups, "u").select("u", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("k"), "v").join(of("v"), "v").select("u", "k", "v", "s")
+    hubs = groups.select("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k")).join(of("u"), "u").select("u", "k", F.lit(None).cast("long").alias("v"), "s")
+    return hubs.union(each).repartition("u", "k").sortWithinPartitions("u", "k", F.col("v").asc_nulls_first())
+
+
+def _alike(own: int, other: int, common: int, similarity: float) -> bool:
+    return common >= similarity * (own + other - common)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose shingle sets have at least this Jaccard similarity; two texts without words are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -333,17 +350,75 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 x = _whole(s.as_buffer())
                 if v is None:
                     hub, own = u, x
-                elif u == hub:
-                    common = len(np.intersect1d(own, x, assume_unique=True))
-                    if common >= similarity * (len(own) + len(x) - common):
-                        us.append(u), vs.append(v)
+                elif u == hub and _alike(len(own), len(x), len(np.intersect1d(own, x, assume_unique=True)), similarity):
+                    us.append(u), vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    groups = cut(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS_OF_ONE).cast("int").alias("k")))
-    of = lambda name: sets.select(F.col("t").alias(name), "s")
-    each = pairs.join(groups, "u").select("u", F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("k"), "v").join(of("v"), "v").select("u", "k", "v", "s")
-    hubs = groups.select("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k")).join(of("u"), "u").select("u", "k", F.lit(None).cast("long").alias("v"), "s")
-    return hubs.union(each).repartition("u", "k").sortWithinPartitions("u", "k", F.col("v").asc_nulls_first()).mapInArrow(run, "u long, v long")
+    return _beside_hubs(pairs, sets).mapInArrow(run, "u long, v long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, m, n, near, x) of pairs (u, v): how many shingles u and v have, whether they are alike, and the shingles that one of them has alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
+
+        def batch_of(rows: list[tuple], apart: list[np.ndarray]) -> pa.RecordBatch:
+            u, v, m, n, near = zip(*rows) if rows else ([],) * 5
+            ends = np.cumsum([0, *(len(x) for x in apart)]).astype(np.int32)
+            x = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*apart, np.zeros(0, np.uint64)]).astype(np.int64)))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in (u, v, m, n)], pa.array(near, pa.bool_()), x], ["u", "v", "m", "n", "near", "x"])
+
+        for batch in batches:
+            rows, apart, held = [], [], 0
+            for u, v, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                x = _whole(s.as_buffer())
+                if v is None:
+                    hub, own = u, x
+                elif u == hub:
+                    apart.append(np.setxor1d(own, x, assume_unique=True))
+                    rows.append((u, v, len(own), len(x), _alike(len(own), len(x), (len(own) + len(x) - len(apart[-1])) // 2, similarity)))
+                    held += len(apart[-1])
+                    if held >= _DIFFERENCES_AT_ONCE:
+                        yield batch_of(rows, apart)
+                        rows, apart, held = [], [], 0
+            yield batch_of(rows, apart)
+
+    return _beside_hubs(pairs, sets).mapInArrow(run, "u long, v long, m long, n long, near boolean, x array<long>")
+
+
+def _difference_prefixes(differences: DataFrame, similarity: float) -> DataFrame:
+    """(lead, h, t, near, deep, n, d, at) of _differences: each text's differences from its leader, rarest first, as far as one of those shared must come; h tells leader and shingle.
+
+    Let r = (1 - similarity) / (1 + similarity): sets are alike if their symmetric difference is at most r times the sum of their sizes. The symmetric difference of two
+    texts is that of their differences d and e from the leader of m shingles, so texts of n and o shingles share c = (d + e - r (n + o)) / 2 of these at least. A text that isn't near
+    (alike the leader) has e > r (o + m): others, near or not, share over (d - r (n - m)) / 2 with it. With e >= c and o <= m + e, one that isn't near shares (d - r (n + m)) / (1 + r)
+    or more with any; what comes so late that only a near text can share it first is deep. Two near texts are left to their leader.
+    """
+    r = (1 - similarity) / (1 + similarity)
+    with_far, with_any = (F.col("d") - r * (F.col("n") - F.col("m"))) / 2, (F.col("d") - r * (F.col("n") + F.col("m"))) / (1 + r)
+    least = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-6)).cast("int")
+    often = differences.select("u", F.explode("x").alias("x")).groupBy("u", "x").agg(F.count("*").alias("often")).where("often > 1")
+    each = differences.select("u", "v", F.explode("x").alias("x")).join(often, ["u", "x"], "left")
+    order = each.groupBy("u", "v").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "x"))).alias("order"))
+    sized = differences.select("u", "v", "m", "n", "near", F.size("x").alias("d")).where("d > 0")
+    sized = sized.withColumn("early", F.col("d") - F.when(F.col("near"), least(with_far)).otherwise(F.greatest(least(with_far), least(with_any))))
+    sized = sized.withColumn("late", F.when(F.col("near"), F.col("early")).otherwise(F.col("d") - least(with_any)))
+    kept = sized.join(order, ["u", "v"]).withColumn("order", F.slice("order", 1, F.col("late") + 1))
+    rows = kept.select(F.col("u").alias("lead"), F.col("v").alias("t"), "near", "early", "n", "d", F.posexplode("order").alias("at", "e")).where("e.often > 1")
+    return rows.select("lead", F.xxhash64("lead", "e.x").alias("h"), "t", "near", (F.col("at") > F.col("early")).alias("deep"), "n", "d", "at")
+
+
+def _pairs_by_differences(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, c): the pairs of texts of different parts that can be so alike, by the place of a difference that they share (see _difference_prefixes); c orders them."""
+    r = (1 - similarity) / (1 + similarity)
+    needed = (F.col("x.d") + F.col("y.d") - r * (F.col("x.n") + F.col("y.n"))) / 2
+    can = (F.col("x.part") != F.col("y.part")) & (F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at")) >= needed - 1e-6)
+    early = rows.where("not deep")
+    among = early.alias("x").join(early.alias("y"), ["lead", "h"]).where((F.col("x.t") < F.col("y.t")) & can)
+    across = rows.where("near").alias("x").join(rows.where("deep").alias("y"), ["lead", "h"]).where(can)
+    ends = [F.least("x.t", "y.t").alias("u"), F.greatest("x.t", "y.t").alias("v"), (F.lit(1) / (F.col("x.n") + F.col("y.n"))).alias("c")]
+    return among.select(*ends).union(across.select(*ends)).groupBy("u", "v").agg(F.sum("c").alias("c"))
 
 
 def _possible(x: str, y: str, similarity: float) -> Column:
@@ -370,6 +445,21 @@ def _reachable(c: str, n: str, m: str, similarity: float) -> Column:
     return F.col(c) + rest >= similarity / (1 + similarity) * (F.col(n) + F.col(m)) - 1e-6
 
 
+def _pairs_of_few(few: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, c): the pairs of texts of different parts that meet in `few` and share so much of their prefixes that they can be so alike, and what part of their shingles that is.
+
+    few, many: (h, t, n, at, part) of the shingles that few and many texts have. Alike texts whose first shared one is in few are found here; those in many, by which they may share more, count as shared.
+    """
+    rows = few.join(many.groupBy("t").agg(F.count("*").alias("others")), "t", "left")
+    more = F.least(F.coalesce("x.others", F.lit(0)), F.coalesce("y.others", F.lit(0)))
+    both = rows.alias("x").join(rows.alias("y"), "h").where((F.col("x.t") < F.col("y.t")) & (F.col("x.part") != F.col("y.part")))
+    counted = both.groupBy(F.col("x.t").alias("u"), F.col("y.t").alias("v")).agg(
+        F.count("*").alias("c"), F.first(more).alias("more"), F.first("x.n").alias("nu"), F.first("y.n").alias("nv"), F.max(_possible("x", "y", similarity)).alias("ok")
+    )
+    counted = counted.withColumn("most", F.col("c") + F.col("more"))
+    return counted.where(F.col("ok") & _reachable("most", "nu", "nv", similarity)).select("u", "v", (F.col("c") / (F.col("nu") + F.col("nv"))).alias("c"))
+
+
 def _shared_prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(h, t, n, at): the shingles of prefixes that occur in those of two or more different texts, once for each text t; n is the text's number of shingles, at the place among them.
 
@@ -413,11 +503,13 @@ def _shared_prefixes(docs: DataFrame, width: int, similarity: float) -> DataFram
     return rows
 
 
-def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """components() of the links that `linked`, components of texts, and all pairs of texts that are alike make; left: _shared_prefixes of the texts.
+def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """components() of the links that `linked`, components of texts, and all pairs of texts that are alike make; left: _shared_prefixes of the texts; sets: _shingle_sets of texts (t).
 
     Texts that are alike share a shingle of their prefixes. Only shingles that texts of different components share are looked at. In each of some rounds one text leads
-    each shingle's texts, and each text is compared with the leader that it meets most often; what is still in different components then pair by pair.
+    each shingle's texts, and each text is compared with the leader that it meets most often; what is still in different components then pair by pair where a shingle has few texts.
+    Where it has many, such as of a large group of near copies, all are compared with one of them. Alike texts that aren't both alike that one share a difference from it, one of
+    a prefix of their differences (see _least_shared): these are looked at in the place of the shingle, again with a leader where many share one.
     """
 
     def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -428,10 +520,12 @@ def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame]
         apart = rows.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
         return cut(rows.join(_few(apart), "h").select("h", "t", "n", "at"))
 
-    def linked_by(pairs: DataFrame) -> DataFrame:
-        found = alike(cut(pairs))
+    def linked_to(found: DataFrame) -> DataFrame:
         return cut(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
 
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        return linked_to(alike(cut(pairs)))
+
     def apart(pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v, ...) that are in different components."""
         part = lambda name: linked.select(F.col("node").alias(name), F.col("component").alias(f"part_{name}"))
@@ -455,10 +549,32 @@ def _of_prefixes(left: DataFrame, linked: DataFrame, alike: Callable[[DataFrame]
     if left.isEmpty():
         return linked
     # All pairs that share enough. First each text's best one, so that most of the others end up in one component and needn't be compared.
-    now = placed(left, linked)
-    both = now.alias("x").join(now.alias("y"), "h").where((F.col("x.t") < F.col("y.t")) & (F.col("x.part") != F.col("y.part")))
-    counted = both.groupBy(F.col("x.t").alias("u"), F.col("y.t").alias("v")).agg(F.count("*").alias("c"), F.first("x.n").alias("nu"), F.first("y.n").alias("nv"), F.max(_possible("x", "y", similarity)).alias("ok"))
-    pairs = cut(counted.where(F.col("ok") & _reachable("c", "nu", "nv", similarity)).select("u", "v", (F.col("c") / (F.col("nu") + F.col("nv"))).alias("c")))
+    parts, now = [], left
+    for k in range(ROUNDS):
+        now = placed(now, linked)
+        # Pairs that are looked at: of the first round all, then those that can share the difference first.
+        work = F.count("*") if k == 0 else (F.pow(F.sum((~F.col("deep")).cast("long")), F.lit(2)) + F.sum(F.col("near").cast("long")) * F.sum(F.col("deep").cast("long"))) / F.count("*")
+        sizes = now.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), work.cast("long").alias("work")).where("lo <> hi").select("h", "work")
+        now = cut(now.join(_few(sizes), "h"))
+        few, many = now.where(F.col("work") <= FEW_TEXTS), now.where(F.col("work") > FEW_TEXTS)
+        last = k == ROUNDS - 1 or many.isEmpty()
+        if last:
+            few, many = now, now.limit(0)
+        parts.append(cut(_pairs_by_differences(few, similarity) if k else _pairs_of_few(few, many, similarity)))
+        if last:
+            break
+        # The text that has most of these shingles leads, so that there are few leaders.
+        rank = many.join(many.groupBy("t").agg((-F.count("*")).alias("met")), "t").groupBy("h").agg(F.min(F.struct("met", "t")).alias("one"))
+        led = cut(many.select("h", "t").join(rank.select("h", F.col("one.t").alias("u")), "h").where("t <> u").select("u", F.col("t").alias("v")).distinct())
+        asked = sets(led.select(F.col("u").alias("t")).union(led.select(F.col("v").alias("t"))).distinct())
+        differences = cut(_differences(led, asked, similarity))
+        linked = linked_to(differences.where("near").select("u", "v"))
+        now = cut(_difference_prefixes(differences, similarity))
+        forget(left.sparkSession)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.union(more)
+    pairs = cut(apart(found.groupBy("u", "v").agg(F.max("c").alias("c")))) if len(parts) > 1 else parts[0]
     for _ in range(BEST_ROUNDS):
         if pairs.isEmpty():
             return linked
@@ -486,20 +602,23 @@ def _groups(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame,
     of = lambda end, name: distinct.select("block", F.col("fp").alias(end), F.col("least").alias(name))
     across = near.join(of("fp_a", "u"), ["block", "fp_a"]).join(of("fp_b", "v"), ["block", "fp_b"]).where("u <> v").select("u", "v")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
         asked = cut(nodes.join(texts.select("t", "id"), "t").select(F.col("id").alias("doc_id"), "t"))
         n = asked.count()
         # The text of asked documents isn't shuffled while their ids fit a broadcast.
         sets = cut(_shingle_sets(known.select("doc_id", "text").join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, "doc_id"), width))
         if sets.count() > n:
             sets = cut(sets.groupBy("t").agg(F.any_value("s").alias("s")))
-        return cut(_similar(pairs, sets, similarity))
+        return sets
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("u").alias("t")).union(pairs.select(F.col("v").alias("t"))).distinct()
+        return cut(_similar(pairs, sets_of(nodes), similarity))
 
     linked = cut(components(alike(cut(same.union(across).distinct()))))
     forget(docs.sparkSession)
     left = _shared_prefixes(known, width, similarity).join(mixed, "t", "left_anti")
-    linked = _of_prefixes(left, linked, alike, similarity)
+    linked = _of_prefixes(left, linked, alike, sets_of, similarity)
     named = texts.join(linked, texts["t"] == linked["node"]).select("t", "component", "id")
     first = named.groupBy("component").agg(F.min(F.struct("id", "t")).alias("first"))
     of_text = named.join(first, "component").select("t", F.col("first.id").alias("group_id"), F.col("first.t").alias("group_t"))

@@ -1,7 +1,10 @@
 import itertools
 import random
 
-from quarry.llm.simhash import drop_near_duplicates, near_duplicates
+import numpy as np
+from pyspark.sql import functions as F
+
+from quarry.llm.simhash import _difference_prefixes, _differences, _pairs_by_differences, _shortened, drop_near_duplicates, near_duplicates
 
 
 def shingles(t):
@@ -100,3 +103,18 @@ def test_edits_in_one_place_and_drift_are_found(spark):
     got = {r.doc_id: r.group_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len({root(i) for i in range(len(docs))}) < len(docs) - 60
     assert {i: got.get(i, i) for i in range(len(docs))} == {i: root(i) for i in range(len(docs))}
+
+
+def test_alike_texts_share_an_early_difference_from_a_leader(spark):
+    rng = random.Random(23)
+    texts = [set(range(60))]
+    for _ in range(90):
+        gone = rng.sample(range(30), rng.randrange(14))
+        texts.append(set(range(60)) - set(gone) | {100 + x if rng.random() < 0.5 else rng.randrange(1000, 10**6) for x in gone})
+    sets = spark.createDataFrame([(k, bytearray(_shortened(np.array(sorted(s), np.uint64)))) for k, s in enumerate(texts)], "t long, s binary")
+    led = spark.createDataFrame([(0, k) for k in range(1, len(texts))], "u long, v long")
+    rows = _difference_prefixes(_differences(led, sets, 0.8), 0.8).withColumn("part", F.col("t"))
+    found = {(r.u, r.v) for r in _pairs_by_differences(rows, 0.8).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(range(1, len(texts)), 2) if not (alike(texts[0], texts[a]) and alike(texts[0], texts[b]))]
+    wanted = {(a, b) for a, b in pairs if alike(texts[a], texts[b])}
+    assert wanted and wanted <= found and len(found) < len(pairs)
