@@ -119,8 +119,12 @@ def legacy(claims: DataFrame) -> DataFrame:
 def variants(records: DataFrame, questions: DataFrame, most: int = 12) -> DataFrame:
     """(qid, n_variants, rnk, headline): records whose headline without its reality has the question's key; of each headline the largest, largest first."""
     keyed = records.select(X.norm(X.drop_reality(F.col("headline"))).alias("key"), "headline", "size", "doc_id")
-    met = questions.select("qid", X.query_key_or_all(F.col("question")).alias("key")).join(keyed, "key")
-    n = F.count("*").over(Window.partitionBy("qid"))
-    one = met.withColumn("n_variants", n).groupBy("qid", "headline").agg(F.max(F.struct("size", "headline", "doc_id")).alias("b"), F.first("n_variants").alias("n_variants"))
+    # A key's records are counted and its best headlines found once, however many questions ask for it.
+    one = keyed.groupBy("key", "headline").agg(F.max(F.struct("size", "headline", "doc_id")).alias("b"), F.count("*").alias("n"))
+    total = one.groupBy("key").agg(F.sum("n").alias("n"))
+    placed = one.select("key", "b", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("b"))).alias("at")).where(F.col("at") <= most)
+    met = questions.select("qid", X.query_key_or_all(F.col("question")).alias("key")).join(placed.join(total, "key"), "key")
+    asked = met.withColumn("n_variants", F.sum(F.when(F.col("at") == 1, F.col("n"))).over(Window.partitionBy("qid")))
+    each = asked.groupBy("qid", "b").agg(F.first("n_variants").alias("n_variants"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("b")))
-    return one.withColumn("rnk", rank).where(F.col("rnk") <= most).select("qid", "n_variants", "rnk", "headline")
+    return each.withColumn("rnk", rank).where(F.col("rnk") <= most).select("qid", "n_variants", "rnk", F.col("b.headline").alias("headline"))
