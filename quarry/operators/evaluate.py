@@ -50,9 +50,12 @@ def case_scores(cases: DataFrame) -> DataFrame:
 
 def provenance(shown: DataFrame, claims: DataFrame) -> DataFrame:
     """(qid, doc_id, badge) of shown (qid, key, doc_id): how the record holds the name that was asked: identity, codename or alias; alias where it has no claim."""
-    own = claims.groupBy(F.col("name").alias("key"), "doc_id").agg(F.max("prov").alias("prov"))
+    # A record's claims are one row, so that they are joined where they are.
+    own = claims.groupBy("doc_id").agg(F.collect_list(F.struct("name", "prov")).alias("claims"))
+    of_key = F.array_max(F.transform(F.filter("claims", lambda x: x["name"] == F.col("key")), lambda x: x["prov"]))
+    held = shown.join(own, "doc_id", "left").select("qid", "doc_id", of_key.alias("prov"))
     badge = F.when(F.col("prov") == c.PROV_IDENTITY, "identity").when(F.col("prov") == c.PROV_CODENAME, "codename").otherwise("alias")
-    return shown.join(own, ["key", "doc_id"], "left").select("qid", "doc_id", badge.alias("badge"))
+    return held.select("qid", "doc_id", badge.alias("badge"))
 
 
 def asked_keys(questions: DataFrame) -> DataFrame:

@@ -15,12 +15,18 @@ from quarry.plans import sql as Q
 from quarry.sources import records as R
 
 
+#: Parts whose claims one task gathers, about.
+PARTS_OF_TASK = 50_000
+
+
 def part_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims to names: a part is its name, goes by its brand, and is also known by its type."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     claim = lambda col, prov: F.transform(X.keys_of(F.col(col)), lambda k: F.struct(k.alias("name"), prov.cast("int").alias("prov")))
     page = F.col("p_size") % 3 != 0
     names = F.concat(claim("p_name", F.when(page, 2).otherwise(1)), claim("p_brand", F.lit(1)), claim("p_type", F.lit(0)))
+    # Parts are dealt out by key before their names are told apart, to so many tasks that none gathers the claims of more than PARTS_OF_TASK.
+    p = p.repartition(p.count() // PARTS_OF_TASK + 1, "p_partkey")
     rows = p.select(F.col("p_partkey").alias("doc_id"), F.floor(F.col("p_retailprice") * F.col("p_size")).cast("long").alias("size"), (F.col("p_partkey") % 7 == 0).alias("main"), page.alias("page"), F.explode(names).alias("n"))
     return rows.groupBy(F.col("n.name").alias("name"), "doc_id").agg(F.first("size").alias("size"), F.first("main").alias("main"), F.max("n.prov").alias("prov"), F.first("page").alias("page"))
 

@@ -31,3 +31,15 @@ def test_variants_of_a_name_that_many_share_are_found_once(spark):
     got = N.variants(records, questions).where("qid = 7").orderBy("rnk").collect()
     assert [(r.n_variants, r.headline) for r in got] == [(400, f"red ring (Earth-{k})") for k in range(19, 7, -1)]
     assert join_rows(spark, lambda: N.variants(records, questions)) <= 300 * 12
+
+
+def test_claims_to_names_are_gathered_by_part(spark, tmp_path, monkeypatch):
+    from quarry.plans import name_plans
+
+    monkeypatch.setattr(name_plans, "PARTS_OF_TASK", 5, raising=False)
+    spark.range(20).select(F.col("id").alias("p_partkey"), F.lit("red ring").alias("p_name"), F.lit("Brand#1").alias("p_brand"), F.lit("SMALL").alias("p_type"), F.lit(3).alias("p_size"), F.lit(9.5).alias("p_retailprice")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    claims = name_plans.part_claims(spark, str(tmp_path))
+    plan = claims._jdf.queryExecution().executedPlan().toString()
+    assert claims.count() == 60
+    # One exchange, by part, into tasks of a bounded number of parts, below both aggregates.
+    assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(p_partkey" in plan and ", 5)" in plan
