@@ -80,7 +80,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = R.documents(spark, sf_dir)
     top = S.top_k(S.bm25_scores(search_plans.index(spark, sf_dir), search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 24)
     extra = docs.select("doc_id", "headline", F.concat_ws("|", "headline", "source").alias("identity"), (F.size(F.split("text", "\n")) - 1).alias("field_count"), F.col("size").cast("long").alias("size"))
-    return top.join(extra, "doc_id")
+    return F.broadcast(top).join(extra, "doc_id")
 
 
 def candidates_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,8 @@ def ambiguity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = _ranked(spark, sf_dir).where("rnk <= 6").join(R.documents(spark, sf_dir).select("doc_id", F.col("text").alias("block")), "doc_id")
+    top = S.top_k(S.bm25_scores(search_plans.index(spark, sf_dir), search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 6)
+    blocks = F.broadcast(top).join(R.documents(spark, sf_dir).select("doc_id", F.col("text").alias("block")), "doc_id")
     return A.context_blocks(blocks.select("qid", "rnk", "block")).select("qid", "n_blocks", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("context_md5"))
 
 
@@ -100,7 +101,7 @@ def passage_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of each question's three best documents."""
     top = S.top_k(S.bm25_scores(search_plans.index(spark, sf_dir), search_plans.questions(spark, sf_dir)).withColumn("score", F.round("score", 6)), 3)
     docs = R.documents(spark, sf_dir)
-    asked = top.join(docs, "doc_id").join(search_plans.questions(spark, sf_dir), "qid").select(F.concat_ws("-", "qid", "rnk").alias("qid"), "question", F.lit("").alias("headline"), F.lit("").alias("page"), F.col("text").alias("body"))
+    asked = F.broadcast(top.join(search_plans.questions(spark, sf_dir), "qid")).join(docs, "doc_id").select(F.concat_ws("-", "qid", "rnk").alias("qid"), "question", F.lit("").alias("headline"), F.lit("").alias("page"), F.col("text").alias("body"))
     return A.passages(asked).select("qid", F.md5("passage").alias("passage_md5"))
 
 

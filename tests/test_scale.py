@@ -43,3 +43,19 @@ def test_claims_to_names_are_gathered_by_part(spark, tmp_path, monkeypatch):
     assert claims.count() == 60
     # One exchange, by part, into tasks of a bounded number of parts, below both aggregates.
     assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(p_partkey" in plan and ", 5)" in plan
+
+
+def test_an_index_moves_no_text_and_scores_are_added_where_they_are(spark, tmp_path, monkeypatch):
+    from quarry.operators import search as S
+
+    monkeypatch.setattr(S, "PAIRS_OF_TASK", 10, raising=False)
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.concat(F.lit("red red rings b"), F.col("id").cast("string")).alias("text"), F.lit("red").alias("headline"))
+    asked = spark.range(3).select(F.col("id").alias("qid"), F.lit("red b1").alias("question"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(S.index_of(docs).docs)
+    index = S.save_index(docs, f"file://{tmp_path}/index")
+    scores = S.bm25_scores(index, asked)
+    # One exchange of asked postings, by document; no pair of question and document is dealt out again.
+    assert plan(scores).count("hashpartitioning(doc_id") == 1 and "hashpartitioning(qid" not in plan(scores)
+    assert scores.count() == 90
+    assert {tuple(r) for r in index.terms.where("term in ('red', 'ring', 'rings')").collect()} == {("red", 30, 60), ("ring", 30, 30), ("rings", 30, 30)}
